@@ -1,16 +1,18 @@
-"""Byte-level BPE encoding and decoding by a global shuffle of distinct words.
+"""Byte-level BPE encoding and decoding by a global exchange of distinct words.
 
 Encoding
 1. A block of documents (bounded by its characters) is cut into pre-tokens. The
    block keeps its distinct pre-tokens, numbered by falling frequency, and each
    document as the sequence of these numbers by position.
-2. The distinct pre-tokens of all blocks are dealt by the word itself and sorted,
-   so that equal words meet and each distinct word is encoded once; its ids go
-   back to the (block, number) places it came from.
-3. Blocks meet their ids again and put the documents together by position.
-
-A word costs one row per block that has it, however often it occurs there, so no
-word is hot: its share is at most one row in the distinct words of a block.
+2. A block sends each owner (a hash range of words) one message with its distinct
+   words of that range. The owner encodes every distinct word of all its messages
+   once, and answers each message with the ids in the message's order.
+3. Blocks meet their answers and put the documents together by position.
+
+A word is sent once per block however often it occurs there, packed with the
+others, so no word is hot and the text itself never moves. Documents and messages
+leave the first step in one shuffle, dealt by block and by owner, which both later
+steps read; lost parts are made again from the partition they came from.
 Decoding joins ids to the token-byte table, a fixed vocabulary (50,256 entries).
 """
 
@@ -20,6 +22,7 @@ import base64
 import functools
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import BoundedCache, materialise
 
 #: Characters of text after which a block is closed; a longer document is a block of its own.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
 
 #: A space is a sure cut if no white space follows it: what stands left and right of it is then split independently.
 _UNSURE = re.compile(r" (?:\s|$)")
@@ -61,7 +64,7 @@ def chunks(text: str) -> list[str]:
     return re.split(r"(?= \S)", text) if not text.startswith(" ") else [x for x in re.split(r"(?= \S)", text) if x]
 
 
-ROWS = "kind int, block long, doc_id long, seq int, body binary, n_words long, word string, number int"
+ROWS = "k long, block long, doc_id long, seq int, body binary"
 
 
 def _varint(x: np.ndarray) -> bytes:
@@ -90,8 +93,35 @@ def _unvarint(body: bytes) -> np.ndarray:
     return out
 
 
-def _cutter(pattern: str, block_chars: int):
-    """Documents to blocks: rows of kind 0 are documents (word numbers by position), of kind 1 distinct words."""
+def pack_words(words: list[bytes], numbers: np.ndarray) -> bytes:
+    """A message: ascending numbers as gaps, the words' lengths, and their bytes, compressed."""
+    a, b = _varint(np.diff(numbers, prepend=0)), _varint(np.fromiter(map(len, words), np.int64, len(words)))
+    return zlib.compress(np.array([len(words), len(a), len(b)], "<u4").tobytes() + a + b + b"".join(words), 1)
+
+
+def unpack_words(message: bytes) -> tuple[np.ndarray, list[bytes]]:
+    raw = zlib.decompress(message)
+    _, a, b = (int(x) for x in np.frombuffer(raw, "<u4", 3))
+    ends = np.cumsum(_unvarint(raw[12 + a : 12 + a + b])).tolist()
+    body = raw[12 + a + b :]
+    return np.cumsum(_unvarint(raw[12 : 12 + a])), [body[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def pack_ids(ids: list[bytes]) -> bytes:
+    """An answer: how many ids each word has, and the ids (little-endian unsigned 32-bit), compressed."""
+    n = _varint(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+    flat = _varint(np.frombuffer(b"".join(ids), "<u4"))
+    return zlib.compress(np.array([len(n)], "<u4").tobytes() + n + flat, 1)
+
+
+def unpack_ids(answer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(answer)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return _unvarint(raw[4 : 4 + n]), _unvarint(raw[4 + n :])
+
+
+def _cutter(pattern: str, block_chars: int, owners: int):
+    """Documents to blocks: rows with doc bodies (k: the block) and messages to owners (k: -1 - owner; seq null)."""
 
     def close(block: int, ids: list, texts: list[str], split) -> Iterator[pd.DataFrame]:
         number: dict[str, int] = {}
@@ -102,22 +132,23 @@ def _cutter(pattern: str, block_chars: int):
             for c in chunks(text):
                 got = of.get(c)
                 if got is None:
-                    got = of[c] = tuple(number.setdefault(w, len(number)) for w in split(c))
+                    got = of[c] = tuple([number.setdefault(w, len(number)) for w in split(c)])
                 seq += got
-            docs.append(np.array(seq, np.int64))
+            docs.append(np.array(seq, np.int32))
         n = np.array([len(d) for d in docs], np.int64)
-        flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        flat = np.concatenate(docs)
         order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        new = rank[flat] if len(flat) else flat
-        bodies = [_varint(new[z - k : z]) for z, k in zip(np.cumsum(n), n, strict=True)]
-        cols = ["kind", "block", "doc_id", "seq", "body", "n_words", "word", "number"]
-        yield pd.DataFrame({"kind": 0, "block": block, "doc_id": pd.array(ids, "Int64"), "seq": np.arange(len(ids), dtype=np.int32), "body": bodies, "n_words": n, "word": None, "number": None})[cols]
-        words = np.array(list(number), object)[order] if number else np.zeros(0, object)
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
-            yield pd.DataFrame({"kind": 1, "block": block, "doc_id": None, "seq": None, "body": None, "n_words": None, "word": part, "number": np.arange(a, a + len(part), dtype=np.int32)})[cols]
+        ends = np.cumsum(n)
+        bodies = [_varint(rank[flat[z - k : z]]) for z, k in zip(ends, n, strict=True)]
+        yield pd.DataFrame({"k": block, "block": block, "doc_id": pd.array(ids, "Int64"), "seq": np.arange(len(ids), dtype=np.int32), "body": bodies})
+        raw = [w.encode("utf-8", "surrogatepass") for w in number]
+        to = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw))[order] % owners
+        by = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[by], np.arange(owners + 1))
+        messages = [(-1 - o, pack_words([raw[order[i]] for i in by[a:z]], by[a:z])) for o, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < z]
+        yield pd.DataFrame(messages, columns=["k", "body"]).assign(block=block, doc_id=None, seq=None)[["k", "block", "doc_id", "seq", "body"]]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split, pid, k = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
@@ -136,56 +167,63 @@ def _cutter(pattern: str, block_chars: int):
     return cut
 
 
-def _word_encoder(path: str, pattern: str):
-    """Rows arrive sorted by word: each distinct word is encoded when it first comes."""
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piece, last, ids = encoding(path, pattern)._encode_single_piece, None, b""
-        for b in batches:
-            out = []
-            for w in b["word"].tolist():
-                if w != last:
-                    last, ids = w, np.array(piece(w), "<u4").tobytes()
-                out.append(ids)
-            yield pd.DataFrame({"block": b["block"], "number": b["number"], "ids": out})
-
-    return encode
-
-
-def _assembler(path: str):
-    """A block's documents and words to token ids, and back to bytes by the token-byte table."""
-
-    def assemble(key, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        number, blobs = words["number"].to_numpy(np.int64), words["ids"].to_numpy(object)
-        by = np.empty(len(number), object)
-        by[number] = [np.frombuffer(x, "<u4") for x in blobs]
-        size = np.array([len(x) for x in by], np.int64)
-        flat = np.concatenate(by) if len(by) else np.zeros(0, "<u4")
+def _word_owner(path: str, pattern: str):
+    """Messages to an owner -> answers; each distinct word of the group is encoded once."""
+
+    def own(group: pd.DataFrame) -> pd.DataFrame:
+        if group["k"].iloc[0] >= 0:
+            return pd.DataFrame({"block": [], "number": [], "ids": []})
+        piece, known, numbers, answers = encoding(path, pattern)._encode_single_piece, {}, [], []
+        for message in group["body"]:
+            number, words = unpack_words(message)
+            for w in words:
+                if w not in known:
+                    known[w] = np.array(piece(w), "<u4").tobytes()
+            numbers.append(_varint(np.diff(number, prepend=0)))
+            answers.append(pack_ids([known[w] for w in words]))
+        return pd.DataFrame({"block": group["block"], "number": numbers, "ids": answers})
+
+    return own
+
+
+def _assembler():
+    """A block's documents and answers to token ids."""
+
+    def assemble(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        docs = docs[docs["seq"].notna()]
+        if not len(docs):
+            return pd.DataFrame({"doc_id": [], "ids": []})
+        numbers = [np.cumsum(_unvarint(x)) for x in answers["number"]]
+        size = np.zeros(sum(map(len, numbers)), np.int64)
+        parts = [unpack_ids(x) for x in answers["ids"]]
+        for at, (n, _) in zip(numbers, parts, strict=True):
+            size[at] = n
         start = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), "<u4")
+        for at, (n, ids) in zip(numbers, parts, strict=True):
+            flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
         out = []
         for body in docs["body"]:
             seq = _unvarint(body)
             n = size[seq]
-            total = int(n.sum())
-            at = np.repeat(start[seq] - (np.cumsum(n) - n), n) + np.arange(total)
-            out.append(flat[at].astype("<u4").tobytes())
-        return pd.DataFrame({"doc_id": docs["doc_id"], "ids": out})
+            out.append(flat[np.repeat(start[seq] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes())
+        return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "ids": out})
 
     return assemble
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS, owners: int | None = None) -> DataFrame:
     """(doc_id, ids) for each row of `docs` (doc_id, text); ids: little-endian unsigned 32-bit token ids.
 
     A null or empty text has no ids. Rows are never merged: repeated ids and a null
-    id keep their rows. The blocks are written to the shared folder, so the two
-    shuffles that follow see the same numbering even if executors are lost.
+    id keep their rows. No rows, no result. owners: parts of the word space, twice the
+    shuffle partitions by default.
     """
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_cutter(pattern, block_chars), ROWS), "blocks")
-    words = rows.where("kind = 1").select("word", "block", "number")
-    coded = words.repartition(F.col("word")).sortWithinPartitions("word").mapInPandas(_word_encoder(path, pattern), "block long, number int, ids binary")
-    bodies = rows.where("kind = 0").select("block", "doc_id", "seq", "body")
-    return bodies.groupBy("block").cogroup(coded.groupBy("block")).applyInPandas(_assembler(path), "doc_id long, ids binary")
+    owners = owners or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = named.mapInPandas(_cutter(pattern, block_chars, owners), ROWS).repartition("k")
+    answers = rows.groupBy("k").applyInPandas(_word_owner(path, pattern), "block long, number binary, ids binary")
+    return rows.groupBy("k").cogroup(answers.groupBy("block")).applyInPandas(_assembler(), "doc_id long, ids binary")
 
 
 @functools.lru_cache(4)
