@@ -1,0 +1 @@
+"""Formula text to Spark plans."""
