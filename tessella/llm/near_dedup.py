@@ -8,10 +8,12 @@ their probability Jaccard similarity. Bands of registers propose candidates;
 candidates are verified exactly on the whole texts.
 
 Texts with equal word sequences are one node. In a bucket every node is compared
-with the bucket's first node, which costs a line per node however large the bucket.
+with the bucket's hub, the node that shares buckets with most others (an original
+among its edited copies), which costs a line per node however large the bucket.
 After the classes that follow, only buckets that still hold two classes or more
-compare their nodes across classes, so a link that the first node missed is found.
-One minus this similarity is a metric, but no short cut relies on that.
+compare their nodes across classes, so a link that the hubs missed is found: small
+buckets pair by pair; large ones, grouped by hub, in tiles of bounded size, whose
+similarities are a matrix product inside a task that emits nothing but links.
 """
 
 from __future__ import annotations
@@ -30,11 +32,17 @@ from .common import BoundedCache, materialise, mix64, semi_by_size
 #: Words of a shingle; least similarity; bands and registers of each. A pair at 0.8 shares no band with probability 3e-6.
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 5
 
+#: Links up to which one task finds their classes (16 MB of ids); beyond, rounds of joins do.
+ONE_TASK = 1_000_000
+
+#: Nodes of a bucket up to which its pairs are listed, nodes of a tile, and columns of a tile's matrix at a time.
+SMALL, TILE, COLUMNS = 24, 512, 8192
+
 _ODD = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(7).integers(1, 2**62, 64)]
 
 
 def _hasher():
-    return BoundedCache(lambda w: xxhash.xxh64_intdigest(w) >> 2, 1_000_000)
+    return BoundedCache(lambda w: xxhash.xxh64_intdigest(w) >> 2, 200_000)
 
 
 def shingles(text: str | None, known: dict, n_words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +72,7 @@ def prob_minhash(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarra
     x, i = np.zeros(len(e)), 0
     flat_best, flat_sig = best.ravel(), sig.ravel()
     while len(doc):
-        r = mix64(e + np.uint64(2 * i + 1) * np.uint64(0xD1342543DE82EF95))
+        r = mix64(e + np.uint64((2 * i + 1) * 0xD1342543DE82EF95 % 2**64))
         x = x - np.log(((r >> np.uint64(11)).astype(float) + 1) * 2.0**-53) / w
         at = doc * m + (mix64(r) % np.uint64(m)).astype(np.int64)
         np.minimum.at(flat_best, at, x)
@@ -121,17 +129,138 @@ def _verifier(n_words: int, least: float):
         known = _hasher()
         held = BoundedCache(lambda t: shingles(t, known, n_words), 256)
         for p in batches:
-            ok = [similarity(held[s], held[t]) >= least for s, t in zip(p["text_a"], p["text_b"], strict=True)]
+            ok = [similarity(held[s], held[t]) >= least - 1e-9 for s, t in zip(p["text_a"], p["text_b"], strict=True)]
             yield p.loc[ok, ["a", "b"]]
 
     return verify
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, class): the smallest node connected to each node of `edges` (a, b), by alternating large and small stars.
-
-    Each round is written to the shared folder; rounds grow with the logarithm of the longest chain.
+def _blobs(n_words: int):
+    def blob(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _hasher()
+        for b in batches:
+            sets = [shingles(t, known, n_words) for t in b["text"]]
+            yield pd.DataFrame({"node": b["doc_id"].to_numpy(), "hashes": [h.astype("<u8").tobytes() for h, _ in sets], "counts": [c.astype("<u4").tobytes() for _, c in sets]})
+
+    return blob
+
+
+def shared_counts(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sorted hash sets, rows x cols, as products of 0/1 matrices a run of columns at a time."""
+    flat = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = n[at] > 1  # what one set alone has is shared by none
+    _, at = np.unique(at[keep], return_inverse=True)
+    of = of[keep]
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], of[order]
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        a, z = np.searchsorted(at, (lo, lo + COLUMNS))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[of[a:z], at[a:z] - lo] = 1
+        out += m[rows] @ m[cols].T
+    return out
+
+
+def _tile_links(least: float):
+    """Links across classes among the nodes of two tiles (or of one): a spanning set of them."""
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.drop_duplicates(["node", "side"])
+        one = g["t"].iloc[0] == g["u"].iloc[0] and not g["main"].iloc[0]
+        g = g.drop_duplicates("node") if one else g
+        side, node, kind = g["side"].to_numpy(), g["node"].to_numpy(np.int64), g["class"].to_numpy(np.int64)
+        sets = [np.frombuffer(x, "<u8") for x in g["hashes"]]
+        counts = [np.frombuffer(x, "<u4").astype(float) for x in g["counts"]]
+        rows, cols = (np.arange(len(g)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        if not len(rows) or not len(cols):
+            return pd.DataFrame({"a": [], "b": []})
+        both = shared_counts(sets, rows, cols)
+        size = np.array([len(x) for x in sets], float)
+        plain = np.array([len(c) > 0 and c.max() == 1 for c in counts])
+        across = (kind[rows][:, None] != kind[cols][None, :]) & (both > 0)
+        # Where every count is 1 the similarity is the plain Jaccard one; other pairs are worked out in full.
+        easy = plain[rows][:, None] & plain[cols][None, :]
+        near = across & easy & (both / (size[rows][:, None] + size[cols][None, :] - both) >= least - 1e-9)
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for hard in (False, True):
+            for i, j in zip(*np.nonzero(across & ~easy if hard else near), strict=True):
+                p, q = int(rows[i]), int(cols[j])
+                x, y = find(int(kind[p])), find(int(kind[q]))
+                if x != y and (not hard or similarity((sets[p], counts[p]), (sets[q], counts[q])) >= least - 1e-9):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((min(node[p], node[q]), max(node[p], node[q])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return links
+
+
+def _across_large(docs: DataFrame, placed: DataFrame, n_words: int, least: float) -> DataFrame:
+    """Links across classes in large buckets. Nodes that share a large bucket meet in its hub's group.
+
+    placed: (hub, node, class). A group's nodes of the hub's own class are tiled apart
+    from the others, and two tiles of that class never meet.
+    """
+    rows = materialise(placed.distinct(), "large")
+    if rows.isEmpty():
+        return rows.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    main = rows.where("node = hub").select("hub", F.col("class").alias("main_class"))
+    tagged = rows.join(main, "hub").withColumn("main", F.col("class") == F.col("main_class"))
+    tiles = lambda c: F.ceil(F.count_if(c) / TILE).cast("int")
+    sizes = tagged.groupBy("hub").agg(tiles(F.col("main")).alias("tm"), tiles(~F.col("main")).alias("to"))
+    at = tagged.join(sizes, "hub").where("to > 0").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("tm")).otherwise(F.col("to"))).cast("int"))
+    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    key = lambda main, t, u, side: F.struct(main.alias("main"), t.alias("t"), u.alias("u"), side.alias("side"))
+    yes, no = F.lit(True), F.lit(False)
+    own = F.col("own")
+    of_main = F.transform(each(F.col("to")), lambda u: key(yes, own, u, F.lit(0)))
+    to_main = F.transform(each(F.col("tm")), lambda t: key(yes, t, own, F.lit(1)))
+    to_other = F.transform(each(F.col("to")), lambda u: key(no, F.least(own, u), F.greatest(own, u), F.when(own <= u, 0).otherwise(1)))
+    met = at.select("hub", "node", "class", F.explode(F.when(F.col("main"), of_main).otherwise(F.concat(to_main, to_other))).alias("k")).select("hub", "node", "class", "k.*")
+    ids = materialise(rows.select(F.col("node").alias("doc_id")).distinct(), "ids")
+    blobs = semi_by_size(docs, ids, "doc_id", ids.count()).mapInPandas(_blobs(n_words), "node long, hashes binary, counts binary")
+    return met.join(blobs, "node").groupBy("hub", "main", "t", "u").applyInPandas(_tile_links(least), "a long, b long")
+
+
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pd.DataFrame({"node": np.array(nodes, np.int64), "class": np.array([find(x) for x in nodes], np.int64)})
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, class): the smallest node connected to each node of `edges` (a, b), loops left out.
+
+    Up to `one_task` links are joined by one task; more by alternating large and
+    small stars, each round of which is written to the shared folder. Rounds grow with
+    the logarithm of the longest chain. Both ways give the same classes.
     """
+    links = edges.where("a <> b")
+    if links.count() <= one_task:
+        return links.coalesce(1).mapInPandas(_union_find, "node long, class long")
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
@@ -162,18 +291,24 @@ def near_classes(docs: DataFrame, n_words: int = WORDS, least: float = SIMILAR,
     member = signed.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("key")).alias("key"))
     nodes = signed.where("bands is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("n"))
     buckets = materialise(nodes.select(F.col("n.doc_id").alias("node"), F.explode("n.bands").alias("bucket")), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    star = buckets.join(shared.select("bucket", "first"), "bucket").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialise(buckets.join(size, "bucket"), "shared")
+    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = shared.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("hub")).select("bucket", (-F.col("hub.minus")).alias("hub"))
+    hubs = materialise(hubs, "hubs")
+    star = shared.join(hubs, "bucket").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     tried = materialise(star, "star")
     keys = member.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
     linked = materialise(_verified(named, tried, n_words, least), "linked")
     first = materialise(components(linked), "classes")
-    placed = buckets.join(first, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
-    open_ = placed.join(mixed, "bucket", "left_semi")
-    left, right = open_.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca")), open_.select("bucket", F.col("node").alias("b"), F.col("class").alias("cb"))
+    placed = shared.join(first, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
+    mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
+    open_ = materialise(placed.join(mixed, "bucket"), "open")
+    few = open_.where(F.col("n") <= SMALL)
+    left, right = few.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca")), few.select("bucket", F.col("node").alias("b"), F.col("class").alias("cb"))
     across = left.join(right, "bucket").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialise(_verified(named, materialise(across, "across"), n_words, least), "more")
+    of_hubs = open_.where(F.col("n") > SMALL).join(hubs, "bucket").select("hub", "node", "class")
+    more = materialise(_verified(named, materialise(across, "across"), n_words, least).unionByName(_across_large(named, of_hubs, n_words, least)), "more")
     merged = first if more.isEmpty() else components(linked.unionByName(more))
     of_key = keys.join(merged.withColumnRenamed("class", "class_id"), "node", "left").select("key", F.coalesce("class_id", "node").alias("class_id"))
     out = member.join(of_key, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
