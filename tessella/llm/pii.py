@@ -130,11 +130,10 @@ def disclosing_terms(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
     support = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= limits.support)
     both = pairs.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     candidates = materialise(support.join(both, ["entity", "term"]), "candidates")
-    terms = candidates.select("term").distinct()
     entities = tagged.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("s.entity").alias("entity")).join(candidates.select("entity").distinct(), "entity", "left_semi").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    n_terms = terms.count()
-    in_text = found.select(F.explode(_words(F.col("text"))).alias("term"))
-    n_term = semi_by_size(in_text, terms, "term", n_terms).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # Every word's document count, summed up in each task before it moves, meets the candidates only then.
+    able = F.filter(_words(F.col("text")), lambda w: (F.length(w) >= limits.letters) & ~w.rlike("^[0-9]+$"))
+    n_term = found.select(F.explode(able).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n_docs = found.count()
     share = F.col("n_both") / F.greatest("n_term", "n_both")
     scored = candidates.join(n_term, "term").join(entities, "entity").select("term", share.alias("share"), F.log2(share * n_docs / F.col("n_entity")).alias("bits"))
