@@ -440,7 +440,7 @@ def distribution_functions(p):
     return out.select("p_partkey", _r("ex", 10).alias("ex"), _r("wb", 8).alias("wb"), _r("z", 8).alias("z"), _r("nd", 10).alias("nd"), _r("lg", 6).alias("lg"))
 
 
-@query("part", sql="SELECT p_partkey, p_size * p_size + 2 * p_size + 1.0 AS poly, (p_size + 1) + (p_size + 2) + (p_size + 3.0) AS folded, CASE WHEN p_size < 10 THEN 'low' WHEN p_size < 30 THEN 'mid' ELSE 'high' END AS level FROM part")
+@query("part", sql="SELECT p_partkey, CAST(p_size * p_size + 2 * p_size + 1 AS DOUBLE) AS poly, CAST((p_size + 1) + (p_size + 2) + (p_size + 3) AS DOUBLE) AS folded, CASE WHEN p_size < 10 THEN 'low' WHEN p_size < 30 THEN 'mid' ELSE 'high' END AS level FROM part")
 def lambda_functions(p):
     out = compiler.with_formulas(p.select("p_partkey", "p_size"), poly="=LET(x,p_size,f,LAMBDA(a,a*a),f(x)+2*x+1)", folded="=REDUCE(0,{1,2,3},LAMBDA(acc,v,acc+p_size+v))", level='=VLOOKUP(p_size,{0,"low";10,"mid";30,"high"},2)')
     return out.select("p_partkey", "poly", "folded", "level")

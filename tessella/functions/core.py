@@ -83,7 +83,9 @@ def general(n: Column) -> Column:
 
 def snap(n: Column) -> Column:
     """`n` at 15 significant digits, which undoes the last bits of binary arithmetic."""
-    return F.when(n.isNull() | (n == 0), n).otherwise(F.format_string("%.14e", n).cast("double"))
+    e = F.floor(F.log10(F.abs(n)))
+    up, down = F.pow(F.lit(10.0), 14 - e), F.pow(F.lit(10.0), e - 14)
+    return F.when(n.isNull() | (n == 0) | (F.abs(n) < 1e-280), n).when(e <= 14, F.rint(n * up) / up).otherwise(F.rint(n / down) * down)
 
 
 def number(x: V) -> V:
@@ -183,7 +185,11 @@ def aggregate(names: str, takes: str = "n", gives: str = "n", defaults: tuple =
     return register(names, "aggregate", takes, gives, least, defaults=defaults)
 
 
-def finish(result, args: list[V], gives: str) -> V:
+#: Functions that give finite numbers for finite arguments, so that no test for overflow is needed.
+FINITE = set("ABS INT SIGN MOD QUOTIENT ROUND ROUNDUP ROUNDDOWN TRUNC MROUND EVEN ODD CEILING FLOOR CEILING.MATH FLOOR.MATH CEILING.PRECISE ISO.CEILING FLOOR.PRECISE SIN COS ATAN ATAN2 ASIN ACOS ACOT TANH SQRT SQRTPI LN LOG10 DEGREES RADIANS YEAR MONTH DAY WEEKDAY WEEKNUM ISOWEEKNUM DAYS DAYS360 DATEDIF YEARFRAC TIME LEN LENB FIND FINDB SEARCH SEARCHB CODE UNICODE BITAND BITOR BITXOR DELTA GESTEP BIN2DEC OCT2DEC HEX2DEC".split())
+
+
+def finish(result, args: list[V], gives: str, finite: bool = False) -> V:
     checks: list = []
     if isinstance(result, tuple):
         result, checks = result[0], list(result[1:])
@@ -192,7 +198,7 @@ def finish(result, args: list[V], gives: str) -> V:
     own = None
     for cond, code in reversed(checks):
         own = F.when(cond, F.lit(code)).otherwise(own) if own is not None else F.when(cond, F.lit(code))
-    wild = F.when(F.isnan(result) | (F.abs(result) == float("inf")), F.lit("#NUM!")) if gives == "n" else None
+    wild = F.when(F.isnan(result) | (F.abs(result) == float("inf")), F.lit("#NUM!")) if gives == "n" and not finite else None
     return V(result, gives, first_error(*[a.e for a in args], own, wild))
 
 
@@ -215,7 +221,7 @@ def apply(name: str, *args) -> V:
         return _aggregated(spec, ready)
     if "V" in spec.gives:
         return finish(spec.build(*ready), ready, spec.gives)
-    return finish(spec.build(*[a.v for a in ready]), ready, spec.gives)
+    return finish(spec.build(*[a.v for a in ready]), ready, spec.gives, spec.name in FINITE)
 
 
 def _aggregated(spec: Spec, args: list[V]) -> V:

@@ -124,8 +124,8 @@ def _odd(x):
 
 @scalar("CEILING", "nn")
 def _ceiling(x, s):
-    q = snap(F.try_divide(x, s))
-    return F.when((s == 0) | (x == 0), F.lit(0.0)).otherwise(F.when(q >= 0, F.ceil(q)).otherwise(F.when(x < 0, F.ceil(q)).otherwise(F.floor(q))) * s), ((x > 0) & (s < 0), NUM)
+    """Away from zero if the signs agree; a negative number with a positive step goes up."""
+    return F.when((s == 0) | (x == 0), F.lit(0.0)).otherwise(F.ceil(snap(F.try_divide(x, s))) * s), ((x > 0) & (s < 0), NUM)
 
 
 @scalar("FLOOR", "nn")

@@ -10,17 +10,23 @@ constants are compiled on the driver, so what runs is built-in expressions.
 from __future__ import annotations
 
 import datetime
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import REGISTRY, V, apply, error, lit
 from ..functions.core import first_error, number, text
+from ..functions.engineering import all_units
+from ..functions.finance import xirr
 from ..functions.logical import equal, same_type
 from ..operators import criteria as C
 from ..operators.relational import NUMBERED
-from .parser import Array, Binary, Call, Err, FormulaError, Lit, Name, Ref, Unary, parse
-from .textformat import format_value
+from .parser import Array, Binary, Call, Err, FormulaError, Lit, Name, Ref, Unary, parse, reference
+from .textformat import format_value, impossible
 
 MOST_DEPTH = 128  # of nested calls of a LAMBDA
 
@@ -53,14 +59,14 @@ class ArrayValue:
 
 
 class Compiler:
-    def __init__(self, df: DataFrame, tables: dict[str, DataFrame] | None = None, scope: dict | None = None, depth: int = 0):
-        self.df, self.tables, self.scope, self.depth = df, tables or {}, scope or {}, depth
+    def __init__(self, df: DataFrame, tables: dict[str, DataFrame] | None = None, scope: dict | None = None, depth: int = 0, grid: dict[tuple[int, int], object] | None = None):
+        self.df, self.tables, self.scope, self.depth, self.grid = df, tables or {}, scope or {}, depth, grid
         self.names = {f.name.lower(): f for f in df.schema.fields}
 
     def with_scope(self, more: dict) -> Compiler:
         if self.depth >= MOST_DEPTH:
             raise FormulaError("calls nest too deeply: #NUM!")
-        return Compiler(self.df, self.tables, {**self.scope, **more}, self.depth + 1)
+        return Compiler(self.df, self.tables, {**self.scope, **more}, self.depth + 1, self.grid)
 
     def column(self, field) -> V:
         c, t = F.col(f"`{field.name}`"), C.kind(field.dataType)
@@ -79,6 +85,8 @@ class Compiler:
                 return self.scope[tree.name.lower()]
             field = self.names.get(tree.name.lower())
             return self.column(field) if field else error("#NAME?")
+        if isinstance(tree, Ref) and self.grid is not None:
+            return self.cells(tree)
         if isinstance(tree, Ref):
             fields = self.df.schema.fields
             if tree.left is None or tree.left != tree.right or tree.left > len(fields) or tree.sheet:
@@ -92,6 +100,15 @@ class Compiler:
             return broadcast(lambda a, b: binary(tree.op, a, b), self.value(tree.a), self.value(tree.b))
         return self.call(tree)
 
+    def cells(self, r: Ref):
+        """Constant cells of the grid: one value, or an array; blanks are null."""
+        rows, cols = [k[0] for k in self.grid], [k[1] for k in self.grid]
+        top, bottom = r.top or 1, r.bottom or max(rows, default=1)
+        left, right = r.left or 1, r.right or max(cols, default=1)
+        name = lambda i, j: f"R{i}C{j}"
+        one = lambda i, j: replace(lit(self.grid.get((i, j))), source=name(i, j))
+        return one(top, left) if r.single else ArrayValue([[one(i, j) for j in range(left, right + 1)] for i in range(top, bottom + 1)])
+
     def unary(self, tree: Unary):
         x = self.value(tree.x)
         if tree.op in "+@":
@@ -101,6 +118,9 @@ class Compiler:
 
     def call(self, tree: Call):
         name = tree.name
+        if name == "":
+            f = self.value(tree.args[0])
+            return self.invoke(f, [self.value(a) for a in tree.args[1:]]) if isinstance(f, Lambda) else error("#VALUE!")
         if name.lower() in self.scope and isinstance(self.scope[name.lower()], Lambda):
             return self.invoke(self.scope[name.lower()], [self.value(a) for a in tree.args])
         if name in SPECIAL:
@@ -109,7 +129,7 @@ class Compiler:
             return error("#NAME?")
         args = [self.value(a) for a in tree.args]
         spec = REGISTRY[name]
-        if spec.kind == "aggregate" and any(isinstance(a, ArrayValue) for a in args):
+        if spec.kind == "aggregate" and (any(isinstance(a, ArrayValue) for a in args) or not any(isinstance(a, V) and a.ranged for a in args)):
             return over_array(name, args)
         flat = [v for a in args for v in (a.flat() if isinstance(a, ArrayValue) else [a])] if spec.takes.endswith("+") else None
         if flat is None and any(isinstance(a, ArrayValue) for a in args):
@@ -120,7 +140,7 @@ class Compiler:
         given = {p.lower(): (args[i] if i < len(args) else OMITTED) for i, p in enumerate(f.params)}
         if len(args) > len(f.params):
             return error("#VALUE!")
-        return Compiler(self.df, self.tables, {**f.scope, **given}, self.depth + 1).value(f.body) if self.depth < MOST_DEPTH else error("#NUM!")
+        return Compiler(self.df, self.tables, {**f.scope, **given}, self.depth + 1, self.grid).value(f.body) if self.depth < MOST_DEPTH else error("#NUM!")
 
 
 OMITTED = object()  # an argument that was not given
@@ -142,19 +162,53 @@ def broadcast(f, *args):
     return ArrayValue([[f(*[at(a, i, j) for a in args]) for j in range(w)] for i in range(h)])
 
 
+#: Aggregates that count text and booleans in ranges: text as 0, booleans as 0 and 1.
+_LOOSE = {"AVERAGEA", "MAXA", "MINA", "STDEVA", "STDEVPA", "VARA", "VARPA"}
+
+
 def over_array(name: str, args: list) -> V:
-    """An aggregate of a constant array, as the aggregate's fold over its elements."""
-    values = [v for a in args for v in (a.flat() if isinstance(a, ArrayValue) else [a])]
-    n = [number(v) for v in values]
-    xs = F.array(*[F.when(v.err().isNull(), v.v) for v in n])
-    kept = F.filter(xs, lambda x: x.isNotNull())
-    total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x)
-    size = F.size(kept).cast("double")
-    e = first_error(*[v.e for v in n])
-    made = {"SUM": total, "COUNT": size, "COUNTA": F.lit(float(len(values))), "MAX": F.coalesce(F.array_max(kept), F.lit(0.0)), "MIN": F.coalesce(F.array_min(kept), F.lit(0.0)), "AVERAGE": F.try_divide(total, size), "PRODUCT": F.aggregate(kept, F.lit(1.0), lambda a, x: a * x), "SUMSQ": F.aggregate(kept, F.lit(0.0), lambda a, x: a + x * x)}
-    if name not in made:
-        raise FormulaError(f"{name} of a constant array; put the values in a column")
-    return V(made[name], "n", first_error(e, F.when(size == 0, F.lit("#DIV/0!")) if name == "AVERAGE" else None))
+    """An aggregate of constant arrays: their elements become the rows of an inline table, which a scalar subquery aggregates.
+
+    Arrays of one shape are columns side by side for functions of pairs; others are one
+    column under another. In ranges, numbers alone count.
+    """
+    letters = REGISTRY[name].takes
+    arrays = [a.flat() if isinstance(a, ArrayValue) else None for a in args]
+    n = max((len(x) for x in arrays if x is not None), default=1)
+    paired = len(letters.rstrip("+")) > 1 or (letters.endswith("+") and name in ("SUMPRODUCT",))
+    if paired and any(len(x) != n for x in arrays if x is not None):
+        return error("#VALUE!" if name == "SUMPRODUCT" else "#N/A")
+    cols = [x if x is not None else [args[i]] * n for i, x in enumerate(arrays)] if paired else [[v for x, a in zip(arrays, args, strict=True) for v in (x or [a])]]
+    scalars = {i for i, x in enumerate(arrays) if x is None}
+    kind = lambda i: letters.rstrip("+")[min(i, len(letters.rstrip("+")) - 1)]
+
+    def cell(v: V, i: int) -> Column:
+        k = kind(i)
+        if k == "t":
+            return text(v).v
+        if k == "*":
+            return text(v).v if v.e is None else F.coalesce(text(v).v, v.e)
+        if v.t == "d":
+            return number(v).v
+        if v.t == "n" or (i in scalars and paired) or (not paired and id(v) in loose):
+            return number(v).v
+        if name in _LOOSE:
+            return F.lit(0.0) if v.t == "t" else number(v).v
+        return F.lit(None).cast("double")
+
+    loose = {id(a) for a in args if isinstance(a, V)}
+    width = len(cols)
+    table = F.arrays_zip(*[F.array(*[cell(v, i) for v in c]).alias(f"c{i}") for i, c in enumerate(cols)])
+    errors = first_error(*[v.e for c in cols for v in c]) if name not in ("COUNT", "COUNTA", "COUNTBLANK") else None
+    spark = SparkSession.getActiveSession()
+    rows = spark.range(1).select(F.inline(table))
+    rows = rows.toDF(*[f"c{i}" for i in range(width)])
+    if paired and name not in ("SUMPRODUCT", "COUNT"):
+        rows = rows.where(" AND ".join(f"c{i} IS NOT NULL" for i in range(width) if i not in scalars) or "TRUE")
+    ready = [args[i] if paired and i in scalars else V(F.col(f"c{i}"), "t" if kind(i) in "t*" else "n", ranged=True) for i in range(width)]
+    out = apply(name, *ready)
+    got = rows.agg(F.struct(out.v.alias("v"), out.err().alias("e")).alias("r")).scalar()
+    return V(got["v"], out.t, first_error(errors, got["e"]))
 
 
 def binary(op: str, a: V, b: V) -> V:
@@ -216,10 +270,13 @@ def _shown(x) -> str:
 
 def condition(c: Compiler, range_, criterion) -> Column:
     v = c.value(range_)
-    return C.matches(F.col(f"`{v.source}`") if v.source else v.v, v.t, constant(criterion))
+    return C.matches(F.col(f"`{v.source}`") if v.source and c.grid is None else v.v, v.t, constant(criterion))
 
 
 def _conditional(agg: str, c: Compiler, target, pairs) -> V:
+    ranges = [(c.value(r), constant(k)) for r, k in zip(pairs[::2], pairs[1::2], strict=True)]
+    if isinstance(ranges[0][0], ArrayValue):
+        return _conditional_cells(agg, c, target, [(r.flat(), k) for r, k in ranges])
     cond = F.lit(True)
     for r, k in zip(pairs[::2], pairs[1::2], strict=True):
         cond = cond & condition(c, r, k)
@@ -230,6 +287,25 @@ def _conditional(agg: str, c: Compiler, target, pairs) -> V:
     return apply(agg, V(F.when(cond, values), "n", ranged=True))
 
 
+def _conditional_cells(agg: str, c: Compiler, target, ranges: list) -> V:
+    """The same over cells of a grid, each with a type of its own."""
+    n = len(ranges[0][0])
+    values = _array(c, target).flat() if target is not None else [lit(1)] * n
+    if len(values) != n or any(len(r) != n for r, _ in ranges):
+        return error("#VALUE!")
+    kept = []
+    for i in range(n):
+        cond = F.lit(True)
+        for r, k in ranges:
+            cond = cond & (F.lit(k in (None, "") or (isinstance(k, str) and k.startswith("<>") and k != "<>")) if _is_blank(r[i]) else C.matches(r[i].v, r[i].t, k))
+        kept.append(V(F.when(cond, values[i].v if values[i].t == "n" else F.lit(None).cast("double"))))
+    return over_array({"COUNT": "COUNT"}.get(agg, agg), [ArrayValue([kept])])
+
+
+def _is_blank(v: V) -> bool:
+    return v is not None and v.source is not None and "CAST(NULL" in str(v.v)
+
+
 special("SUMIFS")(lambda c, t, *p: _conditional("SUM", c, t, p))
 special("COUNTIFS")(lambda c, *p: _conditional("COUNT", c, None, p))
 special("AVERAGEIFS")(lambda c, t, *p: _conditional("AVERAGE", c, t, p))
@@ -272,11 +348,25 @@ for _name in ("DSUM", "DAVERAGE", "DCOUNT", "DCOUNTA", "DMAX", "DMIN", "DPRODUCT
 @special("TEXT")
 def _text(c, v, code):
     x = c.value(v)
+    if impossible(str(constant(code))):
+        return error("#VALUE!", "t")
     if x.t == "t":
         n = number(x)
         return V(F.coalesce(format_value(n.v, constant(code)), x.v), "t", x.e)
     n = number(x)
-    return V(format_value(n.v, constant(code)), "t", n.e)
+    out = format_value(n.v, constant(code))
+    return V(out, "t", first_error(n.e, F.when(n.v.isNotNull() & out.isNull(), F.lit("#VALUE!"))))
+
+
+@special("CONVERT")
+def _convert(c, x, a, b):
+    """Constant units become one factor while planning."""
+    units = all_units()
+    if isinstance(a, Lit) and isinstance(b, Lit) and a.value in units and b.value in units:
+        (kind, f), (other, g) = units[a.value], units[b.value]
+        n = number(c.value(x))
+        return V(n.v * f / g, "n", n.e) if kind == other else error("#N/A")
+    return apply("CONVERT", c.value(x), c.value(a), c.value(b))
 
 
 @special("LET")
@@ -512,6 +602,9 @@ def _cell(c, what, a=None):
 def _index(c, a, row, col=None):
     """Of a constant array; an index may be a column."""
     rows = _array(c, a).rows
+    if isinstance(row, Lit) and row.value and (col is None or (isinstance(col, Lit) and col.value)) and (len(rows[0]) == 1 or col is not None):
+        i, j = int(row.value), int(col.value) if col is not None else 1
+        return rows[i - 1][j - 1] if i <= len(rows) and j <= len(rows[0]) else error("#REF!")
     if col is None and len(rows) == 1:
         return _choose_at(c.value(row), rows[0])
     r = c.value(row)
@@ -600,9 +693,217 @@ def _filter(c, array, include, if_empty=None):
     return ArrayValue(kept) if kept else (c.value(if_empty) if if_empty is not None else error("#CALC!"))
 
 
-@special("RANK.EQ", "RANK", "RANK.AVG")
-def _rank(c, x, ref, order=Lit(0.0)):
-    raise FormulaError("a rank is a frame operation: use operators.ranking.rank")
+def _numbers(c, tree) -> Column:
+    """The numbers of a constant array, as an array column."""
+    return F.filter(F.array(*[v.v if v.t == "n" else F.lit(None).cast("double") for v in _array(c, tree).flat()]), lambda x: x.isNotNull())
+
+
+def _frame_only(name: str, where: str):
+    def build(c, *args):
+        raise FormulaError(f"{name} over a column is a frame operation: use {where}")
+
+    return build
+
+
+def _rank(average: bool):
+    def build(c, x, ref, order=Lit(0.0)):
+        if not isinstance(c.value(ref), ArrayValue):
+            raise FormulaError("a rank over a column is a frame operation: use operators.ranking.rank")
+        n, xs = number(c.value(x)), _numbers(c, ref)
+        up = bool(_optional(order, 0))
+        before = F.size(F.filter(xs, lambda y: (y < n.v) if up else (y > n.v)))
+        same = F.size(F.filter(xs, lambda y: y == n.v))
+        return V((before + ((same + 1) / 2 if average else F.lit(1))).cast("double"), "n", first_error(n.e, F.when(same == 0, F.lit("#N/A"))))
+
+    return build
+
+
+special("RANK.EQ", "RANK")(_rank(False))
+special("RANK.AVG")(_rank(True))
+
+
+def _percentrank(exclusive: bool):
+    def build(c, array, x, digits=Lit(3.0)):
+        """Interpolated between neighbours, truncated to `digits`."""
+        if not isinstance(c.value(array), ArrayValue):
+            raise FormulaError("a percent rank over a column is a frame operation: use operators.ranking.percent_rank")
+        xs, n, d = F.sort_array(_numbers(c, array)), number(c.value(x)), _optional(digits, 3)
+        size = F.size(xs)
+        below = F.size(F.filter(xs, lambda y: y < n.v))
+        hit = F.array_contains(xs, n.v)
+        a, b = F.try_element_at(xs, F.greatest(below, F.lit(1))), F.try_element_at(xs, F.least(below + 1, size))
+        place = F.when(hit, below.cast("double")).otherwise(below - 1 + F.try_divide(n.v - a, b - a))
+        share = (place + 1) / (size + 1) if exclusive else F.when(size == 1, F.lit(1.0)).otherwise(place / F.nullif(size - 1, F.lit(0)))
+        out = F.floor(share * 10.0 ** int(d) + 1e-9) / 10.0 ** int(d)
+        return V(out, "n", first_error(n.e, F.when((n.v < F.array_min(xs)) | (n.v > F.array_max(xs)) | (size == 0), F.lit("#N/A"))))
+
+    return build
+
+
+special("PERCENTRANK.INC", "PERCENTRANK")(_percentrank(False))
+special("PERCENTRANK.EXC")(_percentrank(True))
+
+
+@special("IRR")
+def _irr(c, flows, guess=Lit(0.1)):
+    return _solved(c, flows, None, _optional(guess, 0.1))
+
+
+@special("XIRR")
+def _xirr(c, flows, dates, guess=Lit(0.1)):
+    return _solved(c, flows, dates, _optional(guess, 0.1))
+
+
+def _solved(c, flows, dates, guess) -> V:
+    @F.pandas_udf(DoubleType())
+    def solve(v: pd.Series, t: pd.Series) -> pd.Series:
+        out = [xirr(np.asarray(a, float), np.asarray(b, float), guess) for a, b in zip(v, t, strict=True)]
+        return pd.Series(out, dtype=object).where(~np.isnan(np.array(out, float)), None)
+
+    xs = _numbers(c, flows)
+    times = F.transform(_numbers(c, dates), lambda d: (d - F.element_at(_numbers(c, dates), 1)) / 365) if dates is not None else F.transform(xs, lambda _, i: i.cast("double"))
+    r = solve(xs, times)
+    return V(r, "n", F.when(r.isNull(), F.lit("#NUM!")))
+
+
+@special("MIRR")
+def _mirr(c, flows, finance, reinvest):
+    xs, f, r = _numbers(c, flows), number(c.value(finance)), number(c.value(reinvest))
+    n = F.size(xs)
+    part = lambda rate, sign, power: F.aggregate(F.transform(xs, lambda x, i: F.when(x * sign > 0, x * sign * F.pow(1 + rate, power(i))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    gains, costs = part(r.v, 1.0, lambda i: n - 1 - i), part(f.v, -1.0, lambda i: -i)
+    return V(F.pow(F.try_divide(gains, costs), F.try_divide(F.lit(1.0), n - 1)) - 1, "n", F.when((gains == 0) | (costs == 0) | (n < 2), F.lit("#DIV/0!")))
+
+
+@special("FREQUENCY")
+def _frequency(c, data, bins):
+    if not isinstance(c.value(data), ArrayValue):
+        raise FormulaError("FREQUENCY over a column is a frame operation: use operators.relational.frequency")
+    xs, edges = _numbers(c, data), [number(v).v for v in _array(c, bins).flat()]
+    lows = [F.lit(float("-inf")), *edges]
+    return _shape([[V(F.size(F.filter(xs, _between(a, b))).cast("double"))] for a, b in zip(lows, edges, strict=False)] + [[V(F.size(F.filter(xs, _between(edges[-1], None))).cast("double"))]])
+
+
+def _between(a: Column, b: Column | None):
+    return (lambda x: x > a) if b is None else (lambda x: (x > a) & (x <= b))
+
+
+def _sorted_rows(rows: list, keys: list, ways: list) -> list:
+    if not all(isinstance(k, Lit) for col in keys for k in col):
+        raise FormulaError("SORT over columns is a frame operation: use operators.relational.sort_by")
+    rank = lambda x: (0, x, "") if isinstance(x, float) else (1, 0, x.lower()) if isinstance(x, str) else (2, int(x), "") if isinstance(x, bool) else (3, 0, "")
+    order = list(range(len(rows)))
+    for col, way in reversed(list(zip(keys, ways, strict=True))):
+        order.sort(key=lambda i, col=col: rank(col[i].value), reverse=way < 0)
+    return [rows[i] for i in order]
+
+
+@special("SORT")
+def _sort(c, array, index=Lit(1.0), order=Lit(1.0), by_col=None):
+    rows = list(array.rows) if isinstance(array, Array) else None
+    if rows is None:
+        raise FormulaError("SORT over columns is a frame operation: use operators.relational.sort_by")
+    k = int(_optional(index, 1)) - 1
+    return _shape([[c.value(x) for x in r] for r in _sorted_rows(rows, [[r[k] for r in rows]], [_optional(order, 1)])])
+
+
+@special("SORTBY")
+def _sortby(c, array, *by):
+    if not isinstance(array, Array) or not all(isinstance(b, Array) for b in by[::2]):
+        raise FormulaError("SORTBY over columns is a frame operation: use operators.relational.sort_by")
+    keys = [[x for r in b.rows for x in r] for b in by[::2]]
+    ways = [_optional(w, 1) for w in by[1::2]]
+    ways += [1] * (len(keys) - len(ways))
+    return _shape([[c.value(x) for x in r] for r in _sorted_rows(list(array.rows), keys, ways)])
+
+
+@special("UNIQUE")
+def _unique(c, array, by_col=None, once=None):
+    if not isinstance(array, Array):
+        raise FormulaError("UNIQUE over columns is a frame operation: use operators.relational.unique")
+    key = lambda r: tuple(x.value.lower() if isinstance(getattr(x, "value", None), str) else getattr(x, "value", x) for x in r)
+    keys = [key(r) for r in array.rows]
+    kept = [r for i, r in enumerate(array.rows) if (keys.count(keys[i]) == 1 if _optional(once, False) else keys.index(keys[i]) == i)]
+    return _shape([[c.value(x) for x in r] for r in kept])
+
+
+@special("RANDARRAY")
+def _randarray(c, rows=Lit(1.0), cols=Lit(1.0), low=Lit(0.0), high=Lit(1.0), whole=Lit(False)):
+    a, b, w = _optional(low, 0.0), _optional(high, 1.0), _optional(whole, False)
+    one = lambda: V((F.floor(F.rand() * (b - a + 1)) + a if w else F.rand() * (b - a) + a).cast("double"))
+    return _shape([[one() for _ in range(int(_optional(cols, 1)))] for _ in range(int(_optional(rows, 1)))])
+
+
+@special("TEXTSPLIT")
+def _textsplit(c, t, col, row=None, ignore=None, mode=None, pad=None):
+    """Of a constant text; columns are split by operators.relational.text_split."""
+    s, rows = constant(t), [constant(t)]
+    if row is not None and constant(row) is not None:
+        rows = s.split(constant(row))
+    cells = [r.split(constant(col)) if constant(col) else [r] for r in rows]
+    if _optional(ignore, False):
+        cells = [[x for x in r if x] for r in cells]
+    w = max(map(len, cells))
+    fill = c.value(pad) if pad is not None else error("#N/A", "t")
+    return _shape([[lit(x) for x in r] + [fill] * (w - len(r)) for r in cells])
+
+
+@special("INDIRECT")
+def _indirect(c, t, a1=None):
+    """A reference or column name from constant text."""
+    try:
+        return c.value(parse(str(constant(t))))
+    except FormulaError:
+        return error("#REF!")
+
+
+@special("OFFSET")
+def _offset(c, ref, rows, cols, height=None, width=None):
+    """Constant shifts of a grid reference; over columns use operators.ranking.shifted and moving."""
+    if not isinstance(ref, Ref) or c.grid is None:
+        raise FormulaError("OFFSET over a column is a frame operation: use operators.ranking.shifted or moving")
+    r, k = int(constant(rows)), int(constant(cols))
+    h, w = int(_optional(height, ref.bottom - ref.top + 1)), int(_optional(width, ref.right - ref.left + 1))
+    top, left = ref.top + r, ref.left + k
+    return error("#REF!") if top < 1 or left < 1 else c.value(Ref(top, left, top + h - 1, left + w - 1))
+
+
+@special("MODE.MULT")
+def _mode_mult(c, array):
+    if not isinstance(c.value(array), ArrayValue):
+        raise FormulaError("MODE.MULT over a column is a frame operation: use operators.ranking.modes")
+    xs = _numbers(c, array)
+    times = lambda x: F.size(F.filter(xs, lambda y: y == x))
+    most = F.array_max(F.transform(xs, times))
+    return V(F.sort_array(F.array_distinct(F.filter(xs, lambda x: (times(x) == most) & (most > 1)))), "a", F.when(most < 2, F.lit("#N/A")))
+
+
+def _linear(name: str):
+    return _frame_only(name, "operators.models.linest, trend")
+
+
+for _name in ("LINEST", "LOGEST", "TREND", "GROWTH"):
+    SPECIAL[_name] = _linear(_name)
+
+
+def _numeric_matrix(c, tree):
+    if not isinstance(tree, Array):
+        raise FormulaError("a matrix of columns is a frame operation: use operators.models.matrix_inverse")
+    return np.array([[x.value for x in r] for r in tree.rows], float)
+
+
+@special("MDETERM")
+def _mdeterm(c, a):
+    m = _numeric_matrix(c, a)
+    return lit(float(np.linalg.det(m))) if m.shape[0] == m.shape[1] else error("#VALUE!")
+
+
+@special("MINVERSE")
+def _minverse(c, a):
+    m = _numeric_matrix(c, a)
+    if m.shape[0] != m.shape[1]:
+        return error("#VALUE!")
+    return error("#NUM!") if abs(np.linalg.det(m)) < 1e-300 else _shape([[lit(float(x)) for x in r] for r in np.linalg.inv(m)])
 
 
 def row(df: DataFrame, formula: str, tables: dict[str, DataFrame] | None = None) -> V:
@@ -630,8 +931,15 @@ def aggregate(df: DataFrame, by: list[str] | None = None, **formulas: str) -> Da
     return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
 
 
-def evaluate(spark, formula: str):
-    """A formula without references: its value, or its error code."""
-    v = row(spark.range(1).select(F.lit(1).alias("_one")), formula)
+def cells_of(context: dict[str, object]) -> dict[tuple[int, int], object]:
+    """A1 names and values as (row, column) cells."""
+    refs = {reference(k): v for k, v in context.items()}
+    return {(r.top, r.left): float(v) if isinstance(v, int) and not isinstance(v, bool) else v for r, v in refs.items()}
+
+
+def evaluate(spark, formula: str, context: dict[str, object] | None = None):
+    """A formula over constant cells (A1 name -> value): its value, or its error code; an array as nested lists."""
+    v = Compiler(spark.range(1).select(F.lit(1).alias("_one")), grid=cells_of(context or {})).value(parse(formula))
+    v = to_array(v) if isinstance(v, ArrayValue) else number(v) if v.t == "d" else v
     got = spark.range(1).select(v.struct().alias("r")).first()["r"]
     return got["e"] if got["e"] is not None else got["v"]

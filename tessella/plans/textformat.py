@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.core import general
 from ..functions.maths import _scaled
 
-_DATE = re.compile(r"(?i)\[?(?:yyyy|yy|mmmmm|mmmm|mmm|mm|m|dddd|ddd|dd|d|hh|h|ss|s|am/pm|a/p)\]?")
-_DATE_PIECE = re.compile(r'(?i)"[^"]*"|\\.|yyyy|yy|mmmmm|mmmm|mmm|mm|m|dddd|ddd|dd|d|hh|h|ss|s|am/pm|a/p|.')
+_DATE = re.compile(r"(?i)\[?(?:yyyy|yyy|yy|y|mmmmm|mmmm|mmm|mm|m|dddd|ddd|dd|d|hh|h|ss|s|am/pm|a/p)\]?")
+_DATE_PIECE = re.compile(r'(?i)"[^"]*"|\\.|yyyy|yyy|yy|y|mmmmm|mmmm|mmm|mm|m|dddd|ddd|dd|d|hh|h|ss|s|am/pm|a/p|.')
 
 
 def sections(code: str) -> list[str]:
@@ -90,7 +90,7 @@ def date_section(d: Column, seconds: Column, code: str) -> Column:
         else:
             out.append(
                 {
-                    "yyyy": lambda: pad(F.year(d), 4), "yy": lambda: pad(F.year(d) % 100, 2), "mmmmm": lambda: F.left(F.date_format(d, "MMMM"), F.lit(1)), "mmmm": lambda: F.date_format(d, "MMMM"),
+                    "yyyy": lambda: pad(F.year(d), 4), "yyy": lambda: pad(F.year(d), 4), "y": lambda: pad(F.year(d) % 100, 2), "yy": lambda: pad(F.year(d) % 100, 2), "mmmmm": lambda: F.left(F.date_format(d, "MMMM"), F.lit(1)), "mmmm": lambda: F.date_format(d, "MMMM"),
                     "mmm": lambda: F.date_format(d, "MMM"), "mm": lambda: pad(F.month(d), 2), "m": lambda: F.month(d).cast("string"), "dddd": lambda: F.date_format(d, "EEEE"), "ddd": lambda: F.date_format(d, "EEE"),
                     "dd": lambda: pad(F.dayofmonth(d), 2), "d": lambda: F.dayofmonth(d).cast("string"), "hh": lambda: pad(shown, 2), "h": lambda: shown.cast("string"), "ss": lambda: pad(seconds % 60, 2), "s": lambda: (seconds % 60).cast("string"),
                 }[p]()
@@ -98,17 +98,26 @@ def date_section(d: Column, seconds: Column, code: str) -> Column:
     return F.concat(*out) if out else F.lit("")
 
 
+def impossible(code: str) -> bool:
+    """Whether a section mixes digit places with date letters outside quotes, which no value fits."""
+    bare = [re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|[eE][+-]', "", p) for p in sections(code)]
+    return any(re.search(r"[0#?]", b) and re.search(r"(?i)[ymdhs]", b) for b in bare)
+
+
 def format_value(n: Column, code: str, text: Column | None = None) -> Column:
     """TEXT: sections for positive, negative, zero and text values; General where the code says so."""
     if code.strip().lower() in ("general", ""):
         return general(n) if code.strip() else F.lit("")
     parts = sections(code)
-    d = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(n).cast("int"))
-    seconds = F.floor((n - F.floor(n)) * 86400 + 0.5)
+    # Whole seconds first, so that what rounds up to midnight is the next day; serials under 60 count from a day later.
+    total = F.floor(n * 86400 + 0.5)
+    day = F.floor(total / 86400).cast("int")
+    d = F.date_add(F.lit("1899-12-30").cast("date"), F.when(day < 60, day + 1).otherwise(day))
+    seconds = total - F.floor(total / 86400) * 86400
 
     def one(x: Column, part: str) -> Column:
         if is_date(part):
-            return date_section(d, seconds, part)
+            return F.when(n >= 0, F.when(day == 0, F.lit("1900-01-00") if part.lower() == "yyyy-mm-dd" else date_section(d, seconds, part)).otherwise(date_section(d, seconds, part)))
         return number_section(x, part) if part.lower() != "general" else general(x)
 
     minus = F.concat(F.lit("-"), one(F.abs(n), parts[0])) if not is_date(parts[0]) else one(n, parts[0])
