@@ -86,14 +86,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
 
-#: The dated list of op9 follows from a rule over the hosts of `pages`; a host's day numbers come from its CRC.
 def listed_hosts(pages: DataFrame) -> DataFrame:
-    """Entries (pattern, list, event, at) by rule: every host of `pages` whose CRC-32 is divisible by 3 is listed from a day on,
-    delisted 60 days later, and, if the CRC is even, listed again 90 days after that; hosts naming pills or casinos are listed throughout."""
-    host = pages.select(url_filter.host_of(F.col("url")).alias("pattern")).where("pattern <> ''").distinct().withColumn("c", F.crc32(F.col("pattern").cast("binary")))
+    """The dated list of op9, by a rule over the hosts of `pages` and a number that each host's MD5 gives it: a host whose number is
+    divisible by 3 is listed from a day on, delisted 60 days later, and, if the number is even, listed again 90 days after that; hosts
+    naming pills or casinos are listed throughout."""
+    host = pages.select(url_filter.host_of(F.col("url")).alias("pattern")).where("pattern <> ''").distinct().withColumn("c", F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("int"))
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
-    start = (F.col("c") % 200).cast("int")
-    third = F.col("c") % 3 == 0
+    start, third = F.col("c") % 200, F.col("c") % 3 == 0
     entry = lambda cond, name, event, at: host.where(cond).select("pattern", F.lit(name).alias("list"), F.lit(event).alias("event"), at.alias("at"))
     return (
         entry(third, "reported", "add", day(start))
@@ -104,11 +103,33 @@ def listed_hosts(pages: DataFrame) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as fetched on a day that its id gives it."""
     pages = table(spark, sf_dir, "pages")
-    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched_at"))
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")).alias("fetched_at"))
     return url_filter.filter_urls(captures, listed_hosts(pages))
 
 
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched_at,
+         lower(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '')) AS host
+  FROM pages
+), h AS (
+  SELECT DISTINCT host AS pattern, CAST('0x' || substr(md5(host), 1, 6) AS INTEGER) AS c FROM p WHERE host <> ''
+), e AS (
+  SELECT pattern, 'reported' AS list, DATE '2024-01-01' + c % 200 AS a, DATE '2024-01-01' + (c % 200 + 60) AS z FROM h WHERE c % 3 = 0
+  UNION ALL SELECT pattern, 'reported', DATE '2024-01-01' + (c % 200 + 150), NULL FROM h WHERE c % 6 = 0
+  UNION ALL SELECT pattern, 'spam', DATE '2024-01-01', NULL FROM h WHERE regexp_matches(pattern, 'pills|casino')
+), m AS (
+  SELECT url, fetched_at, count(*) AS n, min(list) AS first_list
+  FROM (SELECT DISTINCT url, fetched_at, host FROM p) JOIN e ON (host = pattern OR ends_with(host, '.' || pattern)) AND a <= fetched_at AND (z IS NULL OR fetched_at < z)
+  GROUP BY ALL
+)
+SELECT page_id, p.url, p.fetched_at, host, coalesce(n, 0) AS n_matches, first_list, n IS NOT NULL AS blocked
+FROM p LEFT JOIN m ON p.url = m.url AND p.fetched_at = m.fetched_at
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -125,4 +146,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_topk": OP4_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_topk": OP4_SQL, "op9_url_filter": OP9_SQL}
