@@ -19,6 +19,7 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,41 +94,20 @@ class Book:
     def cells(self, sheet: str | int) -> Iterator[tuple[int, list[tuple[int, object, str | None]]]]:
         """(row from 1, [(column from 1, value, formula)]) for each row, as the stream is parsed."""
         with self.zip.open(self.part(sheet)) as f:
-            row, at = 0, 0
-            for event, e in ET.iterparse(f, ("start", "end")):
-                if event == "start" and e.tag == f"{_MAIN}row":
-                    row, at, got = int(e.get("r") or row + 1), 0, []
-                elif event == "end" and e.tag == f"{_MAIN}c":
-                    ref = e.get("r")
-                    at = column_number(re.match("[A-Za-z]+", ref).group()) if ref else at + 1
-                    formula = e.find(f"{_MAIN}f")
-                    value = self.value(e)
-                    if value is not None or formula is not None:
-                        got.append((at, value, None if formula is None else formula.text or ""))
-                elif event == "end" and e.tag == f"{_MAIN}row":
-                    yield row, got
-                    e.clear()
+            yield from _Rows(self).read(f)
 
-    def value(self, c: ET.Element):
-        kind, v = c.get("t", "n"), c.find(f"{_MAIN}v")
-        if kind == "inlineStr":
-            return "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-        if v is None or v.text is None:
-            return "" if kind == "str" else None
+    def value(self, kind: str, style: int, text: str):
+        """A cell's value from its type, style and text."""
+        if kind == "n":
+            n = float(text)
+            return self.epoch + datetime.timedelta(milliseconds=round(n * 86_400_000)) if style < len(self.date_styles) and self.date_styles[style] else n
         if kind == "s":
-            return self.strings[int(v.text)]
-        if kind == "str":
-            return v.text
+            return self.strings[int(text)]
         if kind == "b":
-            return v.text == "1"
+            return text == "1"
         if kind == "e":
-            return CellError(v.text)
-        if kind == "d":
-            return datetime.datetime.fromisoformat(v.text)
-        n, style = float(v.text), int(c.get("s", "0"))
-        if style < len(self.date_styles) and self.date_styles[style]:
-            return self.epoch + datetime.timedelta(milliseconds=round(n * 86_400_000))
-        return n
+            return CellError(text)
+        return datetime.datetime.fromisoformat(text) if kind == "d" else text
 
     def tables(self) -> list[tuple[str, str, str, list[str]]]:
         """(table, sheet, ref, columns)."""
@@ -146,6 +126,138 @@ class Book:
             return [e.get("ref") for _, e in ET.iterparse(f) if e.tag == f"{_MAIN}mergeCell"]
 
 
+class _Rows:
+    """Rows from the events of an XML stream, without building a tree."""
+
+    def __init__(self, book: Book):
+        self.book, self.done = book, []
+        self.row, self.col = 0, 0
+        self.cells: list = []
+        self.part, self.text = None, []
+        self.kind, self.style, self.raw, self.formula = "n", 0, None, None
+
+    def read(self, f) -> Iterator[tuple[int, list]]:
+        p = expat.ParserCreate(namespace_separator=" ")
+        p.buffer_text = True
+        p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = self.start, self.end, self.data
+        while block := f.read(1 << 16):
+            p.Parse(block, False)
+            done, self.done = self.done, []
+            yield from done
+        p.Parse(b"", True)
+        yield from self.done
+
+    def start(self, tag: str, a: dict) -> None:
+        tag = tag.rpartition(" ")[2]
+        if tag == "c":
+            ref = a.get("r")
+            self.col = column_number(ref.rstrip("0123456789")) if ref else self.col + 1
+            self.kind, self.style, self.raw, self.formula = a.get("t", "n"), int(a.get("s", 0)), None, None
+        elif tag in ("v", "t", "f"):
+            self.part, self.text = tag, []
+        elif tag == "row":
+            self.row, self.col, self.cells = int(a.get("r") or self.row + 1), 0, []
+
+    def data(self, text: str) -> None:
+        if self.part:
+            self.text.append(text)
+
+    def end(self, tag: str) -> None:
+        tag = tag.rpartition(" ")[2]
+        if tag == self.part:
+            text, self.part = "".join(self.text), None
+            if tag == "f":
+                self.formula = text
+            elif tag == "t":
+                self.raw = (self.raw or "") + text
+            else:
+                self.raw = text
+        elif tag == "c":
+            value = None
+            if self.raw is not None and (self.raw != "" or self.kind in ("str", "inlineStr")):
+                value = self.book.value(self.kind, self.style, self.raw)
+            elif self.kind == "str":
+                value = ""
+            if value is not None or self.formula is not None:
+                self.cells.append((self.col, value, self.formula))
+        elif tag == "row":
+            self.done.append((self.row, self.cells))
+
+
+_OFFICE, _TABLE, _TEXT = ("{urn:oasis:names:tc:opendocument:xmlns:%s:1.0}" % n for n in ("office", "table", "text"))
+
+
+class OpenDocument:
+    """An ODS package with the same face as `Book`; repeated rows and cells are expanded, trailing blank repeats are not."""
+
+    def __init__(self, data: bytes | str):
+        self.zip = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data)
+        with self.zip.open("content.xml") as f:
+            self.sheets = [(e.get(f"{_TABLE}name"), e.get(f"{_TABLE}name"), "visible") for ev, e in ET.iterparse(f, ("start",)) if e.tag == f"{_TABLE}table"]
+        self.names: list = []
+
+    part = Book.part
+
+    def tables(self) -> list:
+        return []
+
+    def merges(self, sheet) -> list:
+        return []
+
+    def cells(self, sheet) -> Iterator[tuple[int, list]]:
+        name, inside, row = self.part(sheet), False, 0
+        with self.zip.open("content.xml") as f:
+            for event, e in ET.iterparse(f, ("start", "end")):
+                if e.tag == f"{_TABLE}table":
+                    if event == "start":
+                        inside = e.get(f"{_TABLE}name") == name
+                    elif inside:
+                        return
+                elif event == "end" and inside and e.tag == f"{_TABLE}table-row":
+                    col, got = 0, []
+                    for c in e:
+                        times = int(c.get(f"{_TABLE}number-columns-repeated", 1))
+                        v = self.value(c)
+                        if v is not None:
+                            got += [(col + k + 1, v, None) for k in range(times)]
+                        col += times
+                    times = int(e.get(f"{_TABLE}number-rows-repeated", 1))
+                    for k in range(times if got else 0):
+                        yield row + k + 1, got
+                    row += times
+                    e.clear()
+
+    def value(self, c: ET.Element):
+        kind = c.get(f"{_OFFICE}value-type")
+        if kind in ("float", "percentage", "currency"):
+            return float(c.get(f"{_OFFICE}value"))
+        if kind == "boolean":
+            return c.get(f"{_OFFICE}boolean-value") == "true"
+        if kind == "date":
+            d = datetime.datetime.fromisoformat(c.get(f"{_OFFICE}date-value"))
+            return d
+        if kind == "time":
+            m = re.fullmatch(r"PT(?:(\d+)H)?(?:(\d+)M)?(?:([\d.]+)S)?", c.get(f"{_OFFICE}time-value"))
+            return datetime.timedelta(hours=int(m[1] or 0), minutes=int(m[2] or 0), seconds=float(m[3] or 0))
+        return "\n".join("".join(p.itertext()) for p in c.iter(f"{_TEXT}p")) if kind == "string" else None
+
+
+def open_book(data: bytes | str) -> Book | OpenDocument:
+    """A workbook by what it is, not by its name."""
+    if is_encrypted(data):
+        raise ValueError("the workbook is encrypted or of the old binary format")
+    with zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data) as z:
+        return OpenDocument(data) if "content.xml" in z.namelist() else Book(data)
+
+
+def is_encrypted(data: bytes | str) -> bool:
+    """Whether the package is a compound file, as encrypted workbooks (and those of the old binary format) are."""
+    if isinstance(data, str):
+        with open(data, "rb") as f:
+            data = f.read(8)
+    return data[:8] == bytes.fromhex("d0cf11e0a1b11ae1")
+
+
 def cell_type(v) -> str | None:
     """The observed type of a cell; None for an empty one."""
     if v is None:
@@ -301,11 +413,11 @@ class WorkbookReader(DataSourceReader):
         return [File(p, None) for p in self.paths]
 
     def read(self, partition):
-        book = Book(partition.path)
+        book = open_book(partition.path)
         plan, sheet = plan_of(book, self.options)
-        kinds = [{"bigint": "int", "double": "float", "string": "string", "boolean": "boolean", "timestamp_ntz": "datetime", "date": "date"}[f.dataType.simpleString()] for f in self.schema.fields if f.name != "row_id"]
+        kinds = [{"bigint": "int", "double": "float", "string": "string", "boolean": "boolean", "timestamp_ntz": "datetime", "date": "date", "interval day to second": "duration"}[f.dataType.simpleString()] for f in self.schema.fields if f.name != "row_id"]
         blank = str(self.options.get("whitespaceasnull", "false")).lower() == "true"
-        types = {"int": pa.int64(), "float": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "datetime": pa.timestamp("us"), "date": pa.date32()}
+        types = {"int": pa.int64(), "float": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "datetime": pa.timestamp("us"), "date": pa.date32(), "duration": pa.duration("us")}
         place = {c: i for i, c in enumerate(plan.columns)}
 
         def batch(rows: list, ids: list) -> pa.RecordBatch:
@@ -350,10 +462,10 @@ class WorkbookSource(DataSource):
         import os
 
         path = self.options["path"].removeprefix("file://")
-        return sorted(glob.glob(os.path.join(path, "*.xlsx")) if os.path.isdir(path) else glob.glob(path))
+        return sorted(glob.glob(os.path.join(path, "*.xls[xm]")) + glob.glob(os.path.join(path, "*.ods")) if os.path.isdir(path) else glob.glob(path))
 
     def schema(self) -> str:
-        plan, _ = plan_of(Book(self._paths()[0]), {k.lower(): v for k, v in self.options.items()})
+        plan, _ = plan_of(open_book(self._paths()[0]), {k.lower(): v for k, v in self.options.items()})
         return "row_id bigint, " + ", ".join(f"`{n}` {TYPES[k]}" for n, k in zip(plan.names, plan.kinds, strict=True))
 
     def reader(self, schema: StructType) -> WorkbookReader:
@@ -364,21 +476,72 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WorkbookSource)
 
 
+def load_sheet(spark: SparkSession, path: str, sheet: str | int = 0, **options) -> DataFrame:
+    """A sheet as a frame; options as in the module's text."""
+    register(spark)
+    return spark.read.format("workbook").options(sheet=str(sheet), **{k: str(v) for k, v in options.items()}).load(path)
+
+
+def load_table(spark: SparkSession, path: str, table: str, **options) -> DataFrame:
+    register(spark)
+    return spark.read.format("workbook").options(table=table, **{k: str(v) for k, v in options.items()}).load(path)
+
+
+def views(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """A temporary view for every sheet and table of a workbook; their names."""
+    names = []
+    book = open_book(path)
+    for n, _, _ in book.sheets:
+        load_sheet(spark, path, n).createOrReplaceTempView(f"`{prefix}{n}`")
+        names.append(prefix + n)
+    for t, *_ in book.tables():
+        load_table(spark, path, t).createOrReplaceTempView(f"`{prefix}{t}`")
+        names.append(prefix + t)
+    return names
+
+
+def batches(path: str, sheet: str | int = 0, size: int = 5000, top: int = 1, bottom: int | None = None, left: int = 1, right: int | None = None) -> Iterator[list[list[object]]]:
+    """Rows of a window of a sheet as they stand, each cell with its own type, in lists of `size`; memory holds one list."""
+    out: list[list[object]] = []
+    for row, got in open_book(path).cells(sheet):
+        if row < top or (bottom and row > bottom):
+            continue
+        width = right or max((c for c, _, _ in got), default=left - 1)
+        line: list[object] = [None] * max(0, width - left + 1)
+        for c, v, _ in got:
+            if left <= c <= width:
+                line[c - left] = v
+        out.append(line)
+        if len(out) == size:
+            yield out
+            out = []
+    if out:
+        yield out
+
+
+def cell(path: str, sheet: str | int, row: int, column: int):
+    """One cell by its 1-based place; reading stops there."""
+    for r, got in open_book(path).cells(sheet):
+        if r >= row:
+            return next((v for c, v, _ in got if r == row and c == column), None)
+    return None
+
+
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """(kind, name, sheet, detail): sheets with their visibility, tables with their ranges, defined names."""
-    b = Book(path)
+    b = open_book(path)
     rows = [("sheet", n, n, state) for n, _, state in b.sheets] + [("table", t, s, ref) for t, s, ref, _ in b.tables()] + [("name", n, None, text) for n, text in b.names]
     return spark.createDataFrame(rows, "kind string, name string, sheet string, detail string")
 
 
 def formulas(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
     """(row, col, formula) of a sheet."""
-    return spark.createDataFrame([(r, c, f) for r, cells in Book(path).cells(sheet) for c, _, f in cells if f is not None], "row long, col long, formula string")
+    return spark.createDataFrame([(r, c, f) for r, cells in open_book(path).cells(sheet) for c, _, f in cells if f is not None], "row long, col long, formula string")
 
 
 def cell_errors(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
     """(row, col, code) of cells that hold an error."""
-    return spark.createDataFrame([(r, c, v.code) for r, cells in Book(path).cells(sheet) for c, v, _ in cells if isinstance(v, CellError)], "row long, col long, code string")
+    return spark.createDataFrame([(r, c, v.code) for r, cells in open_book(path).cells(sheet) for c, v, _ in cells if isinstance(v, CellError)], "row long, col long, code string")
 
 
 def cast_report(df: DataFrame, column: str, kind: str) -> DataFrame:

@@ -124,3 +124,24 @@ def test_stream_equals_batch(spark, tmp_path):
     q = windows.tumbling(stream, "ts", "1 day", ["event_type"], F.count(F.lit(1)).alias("n")).writeStream.outputMode("complete").foreachBatch(lambda d, i: got.extend(d.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((str(r["window_start"]), r["event_type"], r["n"]) for r in got) == sorted((str(r["window_start"]), r["event_type"], r["n"]) for r in batch)
+
+
+def test_open_document(spark, tmp_path):
+    ns = " ".join(f'xmlns:{n}="urn:oasis:names:tc:opendocument:xmlns:{n}:1.0"' for n in ("office", "table", "text"))
+    row = '<table:table-row><table:table-cell office:value-type="string"><text:p>{}</text:p></table:table-cell><table:table-cell office:value-type="{}" {}/></table:table-row>'
+    body = row.format("a", "float", 'office:value="1.5"') + row.format("b", "float", 'office:value="2"') + '<table:table-row table:number-rows-repeated="1000"><table:table-cell table:number-columns-repeated="9"/></table:table-row>'
+    head = '<table:table-row><table:table-cell office:value-type="string"><text:p>k</text:p></table:table-cell><table:table-cell office:value-type="string"><text:p>v</text:p></table:table-cell></table:table-row>'
+    path = str(tmp_path / "a.ods")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("content.xml", f'<office:document-content {ns}><office:body><office:spreadsheet><table:table table:name="T">{head}{body}</table:table></office:spreadsheet></office:body></office:document-content>')
+    assert sorted((r["k"], r["v"]) for r in workbook.load_sheet(spark, path, "T").collect()) == [("a", 1.5), ("b", 2.0)]
+    assert workbook.cell(path, "T", 3, 2) == 2.0 and workbook.cell(path, 0, 99, 1) is None
+
+
+def test_windows_of_rows_and_views(spark, book):
+    lines = [line for part in workbook.batches(book, "Data", size=2, top=2, left=2, right=3) for line in part]
+    assert lines == [[2.5, "a<b"], [None, ""], [-1.0, "  "]]
+    assert workbook.cell(book, "Data", 2, 4) is True
+    assert workbook.views(spark, book, "wb_") == ["wb_Data", "wb_Mixed"]
+    assert spark.sql("SELECT count(*) AS n FROM `wb_Data`").first()["n"] == 3
+    assert not workbook.is_encrypted(book) and workbook.is_encrypted(bytes.fromhex("d0cf11e0a1b11ae1") + b"x")
