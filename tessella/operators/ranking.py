@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 
 def value_ranks(df: DataFrame, value: str, descending: bool = True) -> DataFrame:
     """(value, n, before, total): how often each value occurs and how many values come before it.
@@ -19,7 +21,7 @@ def value_ranks(df: DataFrame, value: str, descending: bool = True) -> DataFrame
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     key = F.col(value).desc() if descending else F.col(value).asc()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id())
+    ranged = materialise(counts.repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id()))
     sums = ranged.groupBy("_p").agg(F.sum("n").alias("_s"), F.min(value).alias("_lo"))
     offsets = sums.select("_p", (F.sum("_s").over(W.orderBy("_p")) - F.col("_s")).alias("_o"), F.sum("_s").over(W.partitionBy(F.lit(1))).alias("total"))
     inside = F.sum("n").over(W.partitionBy("_p").orderBy(key)) - F.col("n")

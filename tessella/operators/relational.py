@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 
 def canonical(df: DataFrame, name: str) -> Column:
     """Key of a cell for distinct and lookups: text without case."""
@@ -22,13 +24,14 @@ def canonical(df: DataFrame, name: str) -> Column:
 def numbered(df: DataFrame, *keys: Column, to: str = "row_id", parts: int | None = None) -> DataFrame:
     """Rows with their place (from 0) in the order of `keys`, in parallel.
 
-    Rows are range-partitioned and sorted; each partition's count is a row of a small
-    aggregate (one row a partition), whose running sum offsets the partitions.
+    Rows are range-partitioned, sorted and written; each partition's count is a row of
+    a small aggregate (one row a partition), whose running sum offsets the partitions.
     """
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    tagged = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    # Bounds of ranges come from a sample, so both reads below must be of the same run.
+    tagged = materialise(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     counts = tagged.groupBy("_p").agg((F.max("_i") + 1).alias("_n"))
     offsets = counts.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_o"))
     return tagged.join(F.broadcast(offsets), "_p").withColumn(to, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")

@@ -123,3 +123,15 @@ def test_empty_tables(spark):
     assert relational.unique(df).count() == 0
     assert relational.numbered(df, F.col("k")).count() == 0
     assert lookup.as_of(df, "v", df.toDF("k2", "v2"), "v2", ["k2"]).count() == 0
+
+
+def test_numbering_is_of_one_run(spark):
+    """Enough rows that the bounds of ranges are sampled, not exact."""
+    df = spark.range(300_000).select(((F.col("id") * 48_271) % 299_993).alias("k"), "id")
+    rows = relational.numbered(df, F.col("k"), F.col("id"), parts=7)
+    s = rows.agg(F.countDistinct("row_id").alias("d"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).first()
+    assert tuple(s) == (300_000, 0, 299_999)
+    from pyspark.sql import Window as W
+
+    ordered = rows.withColumn("before", F.lag("k").over(W.orderBy("row_id")))
+    assert ordered.where("before > k").count() == 0
