@@ -297,6 +297,72 @@ def sequence_grid(r):
     return relational.sequence(r.sparkSession, 3, 4, 5, 2)
 
 
+@query("customer", sql="SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey IN (1, 2, 3)")
+def auto_filter(c):
+    return relational.auto_filter(c, {"c_mktsegment": ["BUILDING", "MACHINERY"], "c_nationkey": [1, 2, 3, None]}).select("c_custkey")
+
+
+@query("orders", sql="SELECT o_orderkey AS row_id FROM orders WHERE o_orderkey >= 50 ORDER BY 1 LIMIT 20")
+def skip_and_limit(o):
+    return relational.skip_rows(o.select(F.col("o_orderkey").alias("row_id")), 50, limit=20)
+
+
+@query("part", sql="SELECT p_partkey, CASE WHEN p_partkey <= (SELECT max(p_partkey) FROM part WHERE p_size > 25 AND p_partkey <= 150) AND p_size > 25 THEN p_name END AS p_name FROM part WHERE p_partkey <= (SELECT max(p_partkey) FROM part WHERE p_size > 25 AND p_partkey <= 150)")
+def trim_blank_tail(p):
+    """Names blanked where the size is small and after row 150: rows after the last name left go."""
+    rows = p.select("p_partkey", F.when(F.col("p_size") <= 25, " ").when(F.col("p_partkey") > 150, "").otherwise(F.col("p_name")).alias("p_name"))
+    return relational.blank_to_null(relational.trim_tail(rows, "p_partkey"))
+
+
+@query("part", sql="SELECT 'p_name' AS name, 'string' AS kind UNION ALL SELECT 'size', 'int' UNION ALL SELECT 'price', 'float' UNION ALL SELECT 'big', 'boolean' UNION ALL SELECT 'day', 'date'")
+def infer_schema(p):
+    text = p.select("p_name", F.col("p_size").cast("string").alias("size"), F.col("p_retailprice").cast("string").alias("price"), (F.col("p_size") > 20).cast("string").alias("big"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")).cast("string").alias("day"))
+    return relational.observed_types(text)
+
+
+@query("events", sql="SELECT event_id, 'value' AS name, event_type AS detail FROM events WHERE event_id % 10 = 0")
+def cast_report(e):
+    mixed = e.select("event_id", F.when(F.col("event_id") % 10 == 0, F.col("event_type")).otherwise(F.col("value").cast("string")).alias("value"))
+    return relational.cast_report(mixed, "event_id", {"value": "double"})
+
+
+@query("nation", "region", sql="SELECT n_nationkey AS i, r_regionkey AS j, CAST(n_nationkey * (r_regionkey + 1) AS DOUBLE) AS value FROM nation, region")
+def outer_product(n, r):
+    return models.outer(n.select(F.col("n_nationkey").alias("i"), F.col("n_nationkey").cast("double").alias("value")), r.select(F.col("r_regionkey").alias("j"), (F.col("r_regionkey") + 1).cast("double").alias("value")))
+
+
+@query("orders", sql="SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS moving FROM orders")
+def offset_frame(o):
+    return ranking.moving(o, "o_totalprice", -1, 1, ["o_custkey"], ["o_orderdate", "o_orderkey"], how="sum").select("o_orderkey", _r("moving", 2).alias("moving"))
+
+
+@query("orders", sql="SELECT o_custkey, round(pow(sum(CASE WHEN v > 0 THEN v * pow(1.12, n - 1 - k) END) / sum(CASE WHEN v < 0 THEN -v / pow(1.1, k) END), 1 / nullif(max(n) - 1, 0)) - 1, 6) AS mirr FROM (SELECT o_custkey, CASE WHEN k = 0 THEN -o_totalprice ELSE o_totalprice END AS v, k, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)) GROUP BY 1")
+def mirr_by_customer(o):
+    from pyspark.sql import Window as W
+
+    first = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) == 1
+    flows = o.withColumn("flow", F.when(first, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")))
+    return models.mirr(flows, "flow", ["o_custkey"], ["o_orderdate", "o_orderkey"], 0.1, 0.12).select("o_custkey", _r("mirr", 6).alias("mirr"))
+
+
+@query("lineitem", sql="SELECT l_linenumber, round(exp(regr_slope(ln(l_extendedprice), l_quantity)), 8) AS base, round(exp(regr_intercept(ln(l_extendedprice), l_quantity)), 3) AS scale FROM lineitem GROUP BY 1")
+def logest_by_group(li):
+    out = models.linest(li, "l_extendedprice", ["l_quantity"], ["l_linenumber"], logs=True)
+    return out.select("l_linenumber", _r("l_quantity", 8).alias("base"), _r("intercept", 3).alias("scale"))
+
+
+@query("lineitem", sql="WITH s AS (SELECT l_returnflag, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY 1) SELECT l_returnflag, round(v[CAST(floor(0.3 * (len(v) + 1)) AS BIGINT)] + (0.3 * (len(v) + 1) - floor(0.3 * (len(v) + 1))) * (v[CAST(floor(0.3 * (len(v) + 1)) AS BIGINT) + 1] - v[CAST(floor(0.3 * (len(v) + 1)) AS BIGINT)]), 4) AS p30 FROM s")
+def percentile_exclusive(li):
+    out = compiler.aggregate(li, ["l_returnflag"], p30="=PERCENTILE.EXC(l_extendedprice, 0.3)")
+    return out.select("l_returnflag", _r("p30").alias("p30"))
+
+
+@query("lineitem", sql="SELECT CAST(sum(l_quantity * l_discount) AS DOUBLE) IS NOT NULL AS some, round(sum(l_quantity * l_quantity), 2) AS sq, round(sum(l_quantity * l_quantity - l_tax * l_tax), 2) AS d, round(sum(l_quantity * l_quantity + l_tax * l_tax), 2) AS s, round(sum((l_quantity - l_tax) * (l_quantity - l_tax)), 2) AS q FROM lineitem")
+def sums_of_squares(li):
+    out = compiler.aggregate(li, some="=ISNUMBER(SUMPRODUCT(l_quantity,l_discount))", sq="=SUMSQ(l_quantity)", d="=SUMX2MY2(l_quantity,l_tax)", s="=SUMX2PY2(l_quantity,l_tax)", q="=SUMXMY2(l_quantity,l_tax)")
+    return out.select("some", *[_r(c, 2).alias(c) for c in ("sq", "d", "s", "q")])
+
+
 # Order statistics and running values.
 
 

@@ -75,6 +75,16 @@ def matrix_product(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
 
 
+def outer(rows: DataFrame, cols: DataFrame, most: int = 10_000) -> DataFrame:
+    """A column vector (i, value) times a row vector (j, value): (i, j, value). One side must be a short vector, which is checked, as it is sent everywhere."""
+    short = cols.limit(most + 1).count() <= most
+    if not short and rows.limit(most + 1).count() > most:
+        raise ValueError(f"an outer product of two vectors of over {most} cells")
+    a, b = rows.select("i", F.col("value").alias("x")), cols.select("j", F.col("value").alias("y"))
+    pairs = a.join(F.broadcast(b), F.lit(True)) if short else b.join(F.broadcast(a), F.lit(True))
+    return pairs.select("i", "j", (F.col("x") * F.col("y")).alias("value"))
+
+
 def _dense(g: pd.DataFrame) -> np.ndarray:
     n = int(max(g["i"].max(), g["j"].max())) + 1
     if n > MOST_ORDER:

@@ -221,3 +221,60 @@ def make_array(spark, rows: int, cols: int, body) -> DataFrame:
 def identity(spark, n: int) -> DataFrame:
     """MUNIT as (row, col, value)."""
     return make_array(spark, n, n, lambda i, j: (i == j).cast("double"))
+
+
+def auto_filter(df: DataFrame, columns: dict[str, list]) -> DataFrame:
+    """Value lists for columns, joined by AND; None in a list lets blanks through."""
+    def one(name: str, values: list) -> Column:
+        hit = F.coalesce(F.col(name).isin([v for v in values if v is not None]), F.lit(False))
+        return hit | F.col(name).isNull() if None in values else hit
+
+    return df.where(reduce(lambda a, b: a & b, [one(n, v) for n, v in columns.items()], F.lit(True)))
+
+
+def skip_rows(df: DataFrame, skip: int | list[int], row: str = "row_id", limit: int | None = None) -> DataFrame:
+    """Rows from `skip` on, or all but those that a list names, by their row number; then at most `limit` of them."""
+    kept = df.where(F.col(row) >= skip) if isinstance(skip, int) else df.where(~F.col(row).isin(skip))
+    return kept if limit is None else kept.orderBy(row).limit(limit)
+
+
+def trim_tail(df: DataFrame, row: str = "row_id") -> DataFrame:
+    """Rows up to the last that has anything but blanks."""
+    blank = lambda c, t: F.coalesce(F.trim(c) == "", F.lit(True)) if t == "string" else c.isNull()
+    empty = reduce(lambda a, b: a & b, [blank(F.col(c), t) for c, t in df.dtypes if c != row], F.lit(True))
+    last = df.where(~empty).agg(F.max(row).alias("_last"))
+    return df.join(F.broadcast(last), F.col(row) <= F.col("_last")).drop("_last")
+
+
+def blank_to_null(df: DataFrame) -> DataFrame:
+    """Text of white space alone as null."""
+    return df.select(*[F.when(F.trim(c) != "", F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+
+def observed_types(df: DataFrame) -> DataFrame:
+    """(name, kind): the narrowest of int, float, boolean, date and string that takes every value of each text column, over all rows."""
+    out = []
+    for name, t in df.dtypes:
+        if t != "string":
+            continue
+        c = F.trim(F.col(name))
+        fits = lambda cond: F.bool_and(F.col(name).isNull() | cond)  # noqa: B023, E731
+        kind = (
+            F.when(F.count(name) == 0, "null").when(fits(c.rlike(r"^-?\d{1,18}$")), "int").when(fits(c.try_cast("double").isNotNull() & ~c.rlike("(?i)nan|inf")), "float")
+            .when(fits(F.lower(c).isin("true", "false")), "boolean").when(fits(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & c.try_cast("date").isNotNull()), "date").otherwise("string")
+        )
+        out.append(F.struct(F.lit(name).alias("name"), kind.alias("kind")))
+    return df.agg(F.array(*out).alias("r")).select(F.inline("r"))
+
+
+def retyped(df: DataFrame) -> DataFrame:
+    """Text columns cast to their observed types, so that no value turns into null."""
+    to = {"int": "bigint", "float": "double", "boolean": "boolean", "date": "date"}
+    kinds = {r["name"]: to[r["kind"]] for r in observed_types(df).collect() if r["kind"] in to}  # a row for each column
+    return df.select(*[F.trim(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns])
+
+
+def cast_report(df: DataFrame, key: str, kinds: dict[str, str]) -> DataFrame:
+    """(key, name, detail): cells that would be null as the Spark types `kinds` asks for."""
+    cells = F.array(*[F.when(F.col(c).isNotNull() & F.col(c).try_cast(k).isNull(), F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("detail"))) for c, k in kinds.items()])
+    return df.select(key, F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("c")).select(key, "c.name", "c.detail")
