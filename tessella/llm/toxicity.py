@@ -27,7 +27,7 @@ GRAMS = (3, 5)
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
 #: Bounds of the training sample: rows of either label, and characters of a row (longer rows are not chosen).
-SAMPLE_ROWS, SAMPLE_CHARS = (1500, 3000), 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = (2000, 5000), 20_000
 
 
 @dataclass
@@ -47,7 +47,12 @@ def _units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket (n), n-gram buckets (n x g) and the n-grams' weights, 0 for those beyond a word's end."""
+    """Word bucket (n), n-gram buckets (n x g) and length (n); made in parts, kept in 16 bits (buckets are at most 65,536)."""
+    parts = [_word_features(words[i : i + 8192], shape) for i in range(0, max(len(words), 1), 8192)]
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def _word_features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m, n = _units(words)
     m = m.astype(np.uint64)
     odd = np.uint64(0x9E3779B97F4A7C15)
@@ -55,16 +60,20 @@ def word_features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarra
     for j in range(WIDE):
         whole = (whole ^ m[:, j]) * odd
         whole ^= whole >> np.uint64(29)
-    ids, weight = [], []
+    ids = []
     for size in GRAMS:
         h = np.zeros((len(m), WIDE - size + 1), np.uint64)
         for j in range(size):
             h = (h ^ m[:, j : WIDE - size + 1 + j]) * odd
             h ^= h >> np.uint64(31)
-        ids.append((h % np.uint64(shape.grams)).astype(np.int32))
-        weight.append(np.arange(WIDE - size + 1)[None, :] <= (n - size)[:, None])
-    w = np.concatenate(weight, 1).astype(np.float32)
-    return (whole % np.uint64(shape.words)).astype(np.int32), np.concatenate(ids, 1), w / np.maximum(w.sum(1, keepdims=True), 1)
+        ids.append((h % np.uint64(shape.grams)).astype(np.uint16))
+    return (whole % np.uint64(shape.words)).astype(np.uint16), np.concatenate(ids, 1), n.astype(np.int16)
+
+
+def gram_weights(n: np.ndarray) -> np.ndarray:
+    """Weights of a word's n-grams, which sum to 1; 0 for those beyond its end."""
+    w = np.concatenate([np.arange(WIDE - size + 1)[None, :] <= (n - size)[:, None] for size in GRAMS], 1).astype(np.float32)
+    return w / np.maximum(w.sum(1, keepdims=True), 1)
 
 
 def split_words(text: str | None) -> list[str]:
@@ -157,9 +166,8 @@ def backward(p: dict, mask: np.ndarray, keep: dict, dlogit: np.ndarray) -> tuple
 
 
 def vectors(p: dict, feats: tuple) -> np.ndarray:
-    word, gram, weight = feats
-    v = p["ew"][word]
-    return v + np.einsum("ng,nge->ne", weight, p["ec"][gram])
+    word, gram, n = feats
+    return p["ew"][word] + np.einsum("ng,nge->ne", gram_weights(n), p["ec"][gram])
 
 
 def project(p: dict, words: list[str], shape: Shape) -> np.ndarray:
@@ -169,11 +177,11 @@ def project(p: dict, words: list[str], shape: Shape) -> np.ndarray:
 
 
 class Scorer:
-    """Scores texts; remembers the projected inputs of up to `most` distinct words."""
+    """Scores texts; remembers the projected inputs of up to `most` distinct words (and those of the texts at hand)."""
 
-    def __init__(self, model: dict, most: int = 400_000):
+    def __init__(self, model: dict, most: int = 100_000):
         self.p, self.shape, self.most = model["p"], model["shape"], most
-        self.shift = model["shift"]
+        self.shift, self.empty = model["shift"], model["empty"]
         self.clear()
 
     def clear(self):
@@ -188,7 +196,7 @@ class Scorer:
         if new:
             need = self.n + len(new)
             if need > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(need - len(self.table), len(self.table)), self.table.shape[1]), np.float32)])
+                self.table = np.concatenate([self.table, np.zeros((need - len(self.table) + 20_000, self.table.shape[1]), np.float32)])
             self.table[self.n : need] = project(self.p, new, self.shape)
             self.row.update(zip(new, range(self.n, need), strict=True))
             self.n = need
@@ -211,9 +219,11 @@ class Scorer:
         return out, of
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        logits, of = self.window_logits(self.rows([split_words(t) for t in texts]))
+        rows = self.rows([split_words(t) for t in texts])
+        logits, of = self.window_logits(rows)
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, of, logits)
+        worst[[len(r) == 0 for r in rows]] = self.shift + self.empty
         return 1 / (1 + np.exp(-np.clip(worst - self.shift, -60, 60)))
 
 
@@ -224,7 +234,8 @@ def _log_odds(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
 def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Shape(), epochs: int = 8, seed: int = 11) -> dict:
     """Fit the network to labelled texts. prior: the share of label 1 among all labelled rows, for the threshold.
 
-    With fewer than two labels present, every text scores that label's side.
+    With fewer than two labels present, every text scores that label's side. A text
+    without words shows nothing and scores the prior, on the clean side.
     """
     rng = np.random.default_rng(seed)
     e, h = shape.vector, shape.state
@@ -234,7 +245,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
         "wx": normal(e, 6 * h), "bx": np.zeros(6 * h, np.float32), "uf": normal(h, 3 * h), "ub": normal(h, 3 * h),
         "wa": normal(2 * h, shape.attention), "va": normal(shape.attention), "wo": normal(2 * h), "bo": np.zeros(1, np.float32),
     }
-    model = {"p": p, "shape": shape, "shift": 0.0}
+    share = min(max(prior, 0.001), 0.4)
+    model = {"p": p, "shape": shape, "shift": 0.0, "empty": float(np.log(share / (1 - share)))}
     y = np.asarray(labels).astype(int)
     if len(set(y.tolist())) < 2:
         p["wo"][:], p["bo"][0] = 0, 4.0 if len(y) and y[0] else -4.0
@@ -247,20 +259,28 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
     for r, k in zip(rows, y, strict=True):
         seen[k][np.unique(r)] += 1
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    for name, ids, weight in (("ew", feats[0], np.ones(len(vocab))), ("ec", feats[1], (feats[2] > 0))):
+    for name, ids in (("ew", feats[0][:, None]), ("ec", feats[1])):
         size = len(p[name])
-        by = [np.bincount(ids.ravel(), (s[1:, None] * weight if weight.ndim > 1 else s[1:]).ravel(), size) for s in (seen[1], seen[0])]
+        by = [np.zeros(size), np.zeros(size)]
+        used = np.zeros(size)
+        for i in range(0, len(ids), 8192):
+            there = np.ones((len(ids[i : i + 8192]), 1)) if name == "ew" else gram_weights(feats[2][i : i + 8192]) > 0
+            used += np.bincount(ids[i : i + 8192].ravel(), minlength=size)
+            for total, s in zip(by, (seen[1], seen[0]), strict=True):
+                total += np.bincount(ids[i : i + 8192].ravel(), (s[1 + i : 8193 + i, None] * there).ravel(), size)
         p[name][:, 0] += np.clip(_log_odds(*by, *((n1, n0) if name == "ew" else (by[0].sum(), by[1].sum()))), -3, 3) * (0.7 if name == "ew" else 1.0)
-        p[name][np.bincount(ids.ravel(), minlength=size) == 0, 0] = 0
+        p[name][used == 0, 0] = 0
     mom = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     step, rate = 0, 0.01
     scorer = Scorer(model)
     scorer.row = vocab
 
     def refresh() -> None:
-        parts = [vectors(p, tuple(f[i : i + 8192] for f in feats)) @ p["wx"] + p["bx"] for i in range(0, len(vocab), 8192)]
-        scorer.table = np.concatenate([np.zeros((1, 6 * h), np.float32), *parts]).astype(np.float32)
-        scorer.n = len(scorer.table)
+        if len(scorer.table) <= len(vocab):
+            scorer.table = np.zeros((len(vocab) + 1, 6 * h), np.float32)
+        for i in range(0, len(vocab), 8192):
+            scorer.table[1 + i : 8193 + i] = vectors(p, tuple(f[i : i + 8192] for f in feats)) @ p["wx"] + p["bx"]
+        scorer.n = len(vocab) + 1
 
     starts = [windows_of(len(r)) for r in rows]
     first = np.cumsum([0, *(len(s) for s in starts)])
@@ -298,7 +318,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
             g["wx"], g["bx"] = v.T @ dproj, dproj.sum(0)
             dv = dproj @ p["wx"].T
             g["ew"] = np.stack([np.bincount(part[0], dv[:, k], shape.words) for k in range(e)], 1)
-            ids, weight = part[1].ravel(), part[2]
+            ids, weight = part[1].ravel(), gram_weights(part[2])
             g["ec"] = np.stack([np.bincount(ids, (weight * dv[:, k, None]).ravel(), shape.grams) for k in range(e)], 1)
             step += 1
             lr = rate * (0.5 if epoch >= epochs // 2 else 1)
