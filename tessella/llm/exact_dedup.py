@@ -28,6 +28,9 @@ from .common import materialise, semi_by_size
 #: What normalisation deletes: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = r"[\x20\x09-\x0D]+"
 
+#: Names (an id and 32 bytes each) that are broadcast at most.
+FEW = 200_000
+
 #: Fingerprints an owner is meant to receive.
 PER_OWNER = 500_000
 
@@ -159,11 +162,23 @@ def exact_dedup(docs: DataFrame, per_owner: int = PER_OWNER) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; of rows repeating an id and text one stays."""
-    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").groupBy("doc_id", "text_sha256").count()
-    kept = materialise(kept, "kept")
-    own = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    on = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["_sha"] == kept["text_sha256"])
-    once = own.join(kept.where("count = 1"), on, "left_semi").select(*docs.columns)
-    again = own.join(kept.where("count > 1"), on, "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
-    return once.unionByName(again)
+    """The rows of `docs` that stay, with all their columns; of rows repeating an id and text one stays.
+
+    The rows that go are named by id and digest; if they are few (`FEW`, checked) each
+    row is judged where it stands, else rows and names are shuffled together.
+    """
+    judged = materialise(exact_dedup(docs.select("doc_id", "text")).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept"), "judged")
+    gone = judged.where("not kept").select("doc_id", "sha").distinct()
+    again = materialise(judged.where("kept").groupBy("doc_id", "sha").count().where("count > 1").select("doc_id", "sha"), "again")
+    own = docs.withColumn("_sha", F.unhex(F.sha2(normalised(F.col("text")), 256)))
+
+    def named(rows: DataFrame, names: DataFrame, how: str) -> DataFrame:
+        side = names.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_of"))
+        side = F.broadcast(side) if names.count() <= FEW else side
+        return rows.join(side, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_sha"] == F.col("_of")), how)
+
+    kept = named(own, gone, "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = named(kept, again, "left_anti").select(*docs.columns)
+    return once.unionByName(named(kept, again, "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns))

@@ -29,6 +29,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: A private-use character; where a text itself has it, it is read as a control character that no pattern has.
 MARK, NO_MARK = "\ue000", "\x01"
 
+#: Words of flagged texts that are broadcast at most.
+FEW = 500_000
+
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -152,7 +155,10 @@ def find(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     if not n:
         return found.withColumn("term", _empty())
     by_text = semi_by_size(found.select(F.xxhash64("text").alias("_h"), F.explode(_words(F.col("text"))).alias("term")), flagged.select("term"), "term", n).groupBy("_h").agg(F.collect_set("term").alias("_terms"))
-    joined = found.withColumn("_h", F.xxhash64("text")).join(by_text, "_h", "left")
+    by_text = materialise(by_text, "by_text")
+    size = by_text.agg(F.coalesce(F.sum(F.size("_terms") + 1), F.lit(0))).first()[0]
+    # Few flagged texts come to the documents; many meet them in a shuffle.
+    joined = found.withColumn("_h", F.xxhash64("text")).join(F.broadcast(by_text) if size <= FEW else by_text, "_h", "left")
     term = F.when(F.col("_terms").isNotNull(), F.filter(_spans(F.col("text"), WORD), lambda s: F.array_contains(F.col("_terms"), F.lower(s["value"]))))
     return joined.withColumn("term", F.coalesce(term, _empty())).drop("_h", "_terms")
 
@@ -184,9 +190,9 @@ def sanitise(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     join on an id can confuse rows that share one.
     """
     names = docs.columns
-    inner = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"))
-    found = find(inner, limits)
-    new = F.when(F.col("_row.text").isNotNull(), sanitised(found, limits))
-    out = found.select("_row", new.alias("_new"))
-    each = {"text": F.col("_new"), "n_chars": F.when(F.col("_new").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in names else None}
+    rest = F.struct(F.col("text").isNull().alias("_null"), *[F.col(f"`{n}`") for n in names if n != "text"])
+    found = find(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", rest.alias("_row")), limits)
+    out = found.select("_row", F.when(~F.col("_row._null"), sanitised(found, limits)).alias("_new"))
+    length = F.coalesce(F.length("_new").cast("long"), F.col("_row.n_chars")) if "n_chars" in names else None
+    each = {"text": F.col("_new"), "n_chars": length}
     return out.select(*[each[n].alias(n) if n in each else F.col(f"_row.`{n}`").alias(n) for n in names])
