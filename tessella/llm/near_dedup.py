@@ -251,15 +251,15 @@ def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": np.array(nodes, np.int64), "class": np.array([find(x) for x in nodes], np.int64)})
 
 
-def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, one_task: int | None = None) -> DataFrame:
     """(node, class): the smallest node connected to each node of `edges` (a, b), loops left out.
 
-    Up to `one_task` links are joined by one task; more by alternating large and
+    Up to `one_task` links (ONE_TASK by default) are joined by one task; more by alternating large and
     small stars, each round of which is written to the shared folder. Rounds grow with
     the logarithm of the longest chain. Both ways give the same classes.
     """
     links = edges.where("a <> b")
-    if links.count() <= one_task:
+    if links.count() <= (ONE_TASK if one_task is None else one_task):
         return links.coalesce(1).mapInPandas(_union_find, "node long, class long")
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")

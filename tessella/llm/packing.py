@@ -75,7 +75,7 @@ def merges(path: str):
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-def word_encoder(path: str, most: int = 400_000):
+def word_encoder(path: str, most: int = 250_000):
     """text -> bytes of little-endian unsigned 32-bit ids, as `encode(text, add_special_tokens=False)`.
 
     The tokenizer drops white space and none of its rules looks across it, so a text
