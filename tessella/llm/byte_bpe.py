@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, materialise
+from .common import BoundedCache
 
 #: Characters of text after which a block is closed; a longer document is a block of its own.
 BLOCK_CHARS = 8_000_000

@@ -122,7 +122,7 @@ def test_best_fit_keeps_every_constraint():
     rng = np.random.default_rng(5)
     n = rng.integers(1, 100, 400)
     for rule in ("dot", "norm"):
-        b = packing.best_fit(n, 128, 4, 6000, rule=rule) if False else packing.best_fit(n, 128, 4, 10000, rule=rule)
+        b = packing.best_fit(n, 128, 4, 10000, rule=rule)
         for k in np.unique(b):
             own = n[b == k]
             assert own.sum() <= 128 and len(own) <= 4 and (own**2).sum() <= 10000
