@@ -251,10 +251,10 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
     if len(set(y.tolist())) < 2:
         p["wo"][:], p["bo"][0] = 0, 4.0 if len(y) and y[0] else -4.0
         return model
-    docs = [split_words(t) for t in texts]
-    vocab = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
+    # A text's words become numbers at once; only distinct words stay as strings.
+    vocab: dict[str, int] = {}
+    rows = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in split_words(t)], np.int32) for t in texts]
     feats = word_features(list(vocab), shape)
-    rows = [np.array([vocab[w] for w in d], np.int32) for d in docs]
     seen = [np.zeros(len(vocab) + 1) for _ in range(2)]
     for r, k in zip(rows, y, strict=True):
         seen[k][np.unique(r)] += 1
@@ -366,7 +366,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int]
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: tuple[int, int] = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict:
     """The trained network; a text repeated in the sample trains once."""
     chosen, share = sample(docs, labels, label, rows, chars)
-    got = chosen.orderBy("doc_id", "text").toPandas().drop_duplicates("text")
+    got = chosen.toPandas().sort_values(["doc_id", "text"], kind="stable").drop_duplicates("text")
     return train(got["text"].tolist(), got["y"].to_numpy(), share)
 
 
