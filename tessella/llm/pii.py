@@ -17,6 +17,7 @@ separators are replaced by a marker, so every loop is over one character class.
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,17 +35,21 @@ FEW = 500_000
 
 WORD = r"[\p{L}\p{N}_]+"
 
+#: Spans are ASCII: a word character inside one is read as its shadow, a private-use character, so a word tells where it stands.
+PLAIN = string.digits + string.ascii_letters + "_"
+SHADOW = "".join(chr(0xE100 + ord(c)) for c in PLAIN)
+SHADED_WORD, OUTSIDE = r"[\p{L}\p{N}_\ue100-\ue17f]+", r"[^\ue100-\ue17f]"
+
 
 @dataclass(frozen=True)
 class Limits:
     """Disclosure thresholds. window: words on each side of a mention; support: distinct contexts at least with both
-    term and entity; share: P(e | t) at least; bits: log2(P(e | t) / P(e)) at least; letters: shortest term."""
+    term and entity; share: P(e | t) at least; bits: log2(P(e | t) / P(e)) at least."""
 
     window: int = 8
     support: int = 3
     share: float = 0.6
     bits: float = 6.0
-    letters: int = 4
     generalise_from: int = 8
 
 
@@ -109,6 +114,19 @@ def _entities(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity")))
 
 
+def _shaded(text: Column) -> Column:
+    """`text` at the same length, word characters inside base spans as their shadows; its own shadows as control characters."""
+    own = F.translate(text, SHADOW, NO_MARK * len(SHADOW))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    cut = lambda a, b: F.substring(own, a + 1, b - a)
+    step = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.when(s["end"] > acc["at"], F.concat(acc["out"], F.array(cut(acc["at"], F.greatest(acc["at"], s["start"])), F.translate(cut(F.greatest(acc["at"], s["start"]), s["end"]), PLAIN, SHADOW)))).otherwise(acc["out"]).alias("out"),
+    )
+    spans = F.array_sort(F.concat(*KINDS))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(own, acc["at"] + 1, F.length(own)))), "")))
+
+
 def _generalised(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("by")))
 
@@ -117,17 +135,20 @@ def disclosing_terms(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """term, share, bits: terms that disclose an entity, from all rows of `found` (see `with_base`).
 
     Counts are over all documents; support counts distinct contexts, so copies of a
-    passage do not add to it. A mention's context is cut from the whole text.
+    passage do not add to it. A mention's context is cut from the whole text. Its
+    words are all candidates, however short and whatever their characters, but for
+    those that lie inside a base span; limits alone decide among them.
     """
     reach = limits.window * 24
-    tagged = found.select("doc_id", "text", F.explode(F.concat(*[_entities(k) for k in KINDS])).alias("s"))
-    left = F.expr(f"substring(text, greatest(s.start - {reach}, 0) + 1, least(s.start, {reach}))")
-    right = F.expr(f"substring(text, s.end + 1, {reach})")
-    near = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    tagged = found.select("doc_id", "text", _shaded(F.col("text")).alias("shaded"), F.concat(*[_entities(k) for k in KINDS]).alias("s")).select("doc_id", "text", "shaded", F.explode("s").alias("s"))
+    left = F.expr(f"substring(shaded, greatest(s.start - {reach}, 0) + 1, least(s.start, {reach}))")
+    right = F.expr(f"substring(shaded, s.end + 1, {reach})")
+    near = lambda c: F.regexp_extract_all(c, F.lit(SHADED_WORD), F.lit(0))
+    lit = lambda w: F.lower(F.translate(w, SHADOW, PLAIN))
     l, r = near(left), near(right)
-    sides = tagged.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("s.entity").alias("entity"), F.transform(F.slice(l, F.greatest(F.size(l) - limits.window + 1, F.lit(1)), F.lit(limits.window)), lambda w: F.lower(w)).alias("l"), F.transform(F.slice(r, 1, limits.window), lambda w: F.lower(w)).alias("r"))
-    term = F.filter(F.array_distinct(F.concat("l", "r")), lambda w: (F.length(w) >= limits.letters) & ~w.rlike("^[0-9]+$") & ~F.contains(F.col("entity"), w))
-    rows = sides.select("entity", "doc", F.xxhash64("l", "r").alias("context"), F.explode(term).alias("term"))
+    sides = tagged.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("s.entity").alias("entity"), F.slice(l, F.greatest(F.size(l) - limits.window + 1, F.lit(1)), F.lit(limits.window)).alias("l"), F.slice(r, 1, limits.window).alias("r"))
+    term = F.array_distinct(F.transform(F.filter(F.concat("l", "r"), lambda w: w.rlike(OUTSIDE)), lit))
+    rows = sides.select("entity", "doc", F.xxhash64(F.transform("l", lit), F.transform("r", lit)).alias("context"), F.explode(term).alias("term"))
     pairs = rows.distinct()
     once = pairs.groupBy("entity", "term", "context").agg(F.lit(1).alias("_"))
     support = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= limits.support)
@@ -135,8 +156,7 @@ def disclosing_terms(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
     candidates = materialise(support.join(both, ["entity", "term"]), "candidates")
     entities = tagged.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("s.entity").alias("entity")).join(candidates.select("entity").distinct(), "entity", "left_semi").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # Every word's document count, summed up in each task before it moves, meets the candidates only then.
-    able = F.filter(_words(F.col("text")), lambda w: (F.length(w) >= limits.letters) & ~w.rlike("^[0-9]+$"))
-    n_term = found.select(F.explode(able).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n_term = found.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n_docs = found.count()
     share = F.col("n_both") / F.greatest("n_term", "n_both")
     scored = candidates.join(n_term, "term").join(entities, "entity").select("term", share.alias("share"), F.log2(share * n_docs / F.col("n_entity")).alias("bits"))

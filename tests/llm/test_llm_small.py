@@ -250,6 +250,16 @@ def test_pii_terms_and_text(spark):
     assert pii.sanitise(frame(spark, [])).count() == 0
 
 
+def test_pii_terms_of_any_length_and_spelling(spark):
+    """Names that the address spells, short names and numbers are flagged; words inside another address are not."""
+    limits = pii.Limits(support=3, share=0.6, bits=3.0)
+    rows = [(k, f"{k}aaa {k}bbb smith Wu 40417 mail john.smith@corp.com or hal9000@corp.com 张伟 {k}ccc") for k in range(5)] + [(50 + k, f"plain text number {k} of hal9000 and corp") for k in range(200)] + [(300, "smith and wu had 40417 with 张伟")]
+    terms = {r["term"] for r in pii.disclosing_terms(pii.with_base(frame(spark, rows)), limits).collect()}
+    assert {"smith", "wu", "40417", "张伟", "mail", "or"} <= terms and not {"john", "corp", "com", "hal9000"} & terms
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, rows), limits).collect()}
+    assert out[300] == " and  had  with " and out[51] == dict(rows)[51]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(10)
     v = np.round(rng.standard_normal((300, 8)) * 0.5, 1)
