@@ -30,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: A private-use character; where a text itself has it, it is read as a control character that no pattern has.
 MARK, NO_MARK = "\ue000", "\x01"
 
-#: Words of flagged texts that are broadcast at most.
+#: Words of flagged texts, and hashes of texts with copies, that are broadcast at most.
 FEW = 500_000
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -134,19 +134,19 @@ def _generalised(kind: str) -> Column:
 def disclosing_terms(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """term, share, bits: terms that disclose an entity, from all rows of `found` (see `with_base`).
 
-    Counts are over all documents; support counts distinct contexts, so copies of a
-    passage do not add to it. A mention's context is cut from the whole text. Its
+    Counts are over distinct texts; support counts distinct contexts, so copies of a
+    passage add to neither. A mention's context is cut from the whole text. Its
     words are all candidates, however short and whatever their characters, but for
     those that lie inside a base span; limits alone decide among them.
     """
     reach = limits.window * 24
-    tagged = found.select("doc_id", "text", _shaded(F.col("text")).alias("shaded"), F.concat(*[_entities(k) for k in KINDS]).alias("s")).select("doc_id", "text", "shaded", F.explode("s").alias("s"))
+    tagged = found.select("text", _shaded(F.col("text")).alias("shaded"), F.concat(*[_entities(k) for k in KINDS]).alias("s")).select("text", "shaded", F.explode("s").alias("s"))
     left = F.expr(f"substring(shaded, greatest(s.start - {reach}, 0) + 1, least(s.start, {reach}))")
     right = F.expr(f"substring(shaded, s.end + 1, {reach})")
     near = lambda c: F.regexp_extract_all(c, F.lit(SHADED_WORD), F.lit(0))
     lit = lambda w: F.lower(F.translate(w, SHADOW, PLAIN))
     l, r = near(left), near(right)
-    sides = tagged.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("s.entity").alias("entity"), F.slice(l, F.greatest(F.size(l) - limits.window + 1, F.lit(1)), F.lit(limits.window)).alias("l"), F.slice(r, 1, limits.window).alias("r"))
+    sides = tagged.select(F.xxhash64("text").alias("doc"), F.col("s.entity").alias("entity"), F.slice(l, F.greatest(F.size(l) - limits.window + 1, F.lit(1)), F.lit(limits.window)).alias("l"), F.slice(r, 1, limits.window).alias("r"))
     term = F.array_distinct(F.transform(F.filter(F.concat("l", "r"), lambda w: w.rlike(OUTSIDE)), lit))
     rows = sides.select("entity", "doc", F.xxhash64(F.transform("l", lit), F.transform("r", lit)).alias("context"), F.explode(term).alias("term"))
     pairs = rows.distinct()
@@ -154,10 +154,14 @@ def disclosing_terms(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
     support = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= limits.support)
     both = pairs.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     candidates = materialise(support.join(both, ["entity", "term"]), "candidates")
-    entities = tagged.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("s.entity").alias("entity")).join(candidates.select("entity").distinct(), "entity", "left_semi").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # Every word's document count, summed up in each task before it moves, meets the candidates only then.
-    n_term = found.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_docs = found.count()
+    entities = tagged.select(F.xxhash64("text").alias("doc"), F.col("s.entity").alias("entity")).join(candidates.select("entity").distinct(), "entity", "left_semi").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    texts = materialise(found.select(F.xxhash64("text").alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("copies")), "texts")
+    copied = texts.where("copies > 1")
+    n_docs, n_copied = texts.count(), copied.count()
+    # Every word's count, summed up in each task before it moves, meets the candidates only then. Each of c copies counts
+    # 1 / c, so a text counts once and only hashes are joined; the sum is a whole number but for rounding.
+    once_each = found.select(F.xxhash64("text").alias("doc"), _words(F.col("text")).alias("terms")).join(F.broadcast(copied) if n_copied <= FEW else copied.hint("shuffle_merge"), "doc", "left")
+    n_term = once_each.select(F.explode("terms").alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("weight")).groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_term"))
     share = F.col("n_both") / F.greatest("n_term", "n_both")
     scored = candidates.join(n_term, "term").join(entities, "entity").select("term", share.alias("share"), F.log2(share * n_docs / F.col("n_entity")).alias("bits"))
     return scored.where((F.col("share") >= limits.share) & (F.col("bits") >= limits.bits)).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits"))

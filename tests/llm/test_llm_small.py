@@ -260,6 +260,19 @@ def test_pii_terms_of_any_length_and_spelling(spark):
     assert out[300] == " and  had  with " and out[51] == dict(rows)[51]
 
 
+def test_pii_copies_count_once(spark, monkeypatch):
+    """Neither copies of a page with the term alone nor copies of a page with the entity change shares and bits."""
+    limits = pii.Limits(support=3, share=0.6, bits=3.0)
+    rows = [(k, f"{k}aaa secretive boss@corp.com {k}bbb") for k in range(3)] + [(10, "secretive alone")] + [(50 + k, f"plain text number {k}") for k in range(60)]
+    copies = [(1000 + k, rows[3][1]) for k in range(49)] + [(2000 + k, rows[0][1]) for k in range(49)]
+    terms = lambda r: sorted((t["term"], t["share"], t["bits"]) for t in pii.disclosing_terms(pii.with_base(frame(spark, r)), limits).collect())
+    want = terms(rows)
+    assert [(t, s, round(b, 6)) for t, s, b in want] == [("secretive", 0.75, 4.0)]
+    assert terms(rows + copies) == want
+    monkeypatch.setattr(pii, "FEW", -1)
+    assert terms(rows + copies) == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(10)
     v = np.round(rng.standard_normal((300, 8)) * 0.5, 1)
