@@ -8,10 +8,12 @@ what is unknown, or sit on a cycle are reported and left out, with all that use
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from .compiler import row
 from .parser import FormulaError, Name, parse, walk
 
@@ -76,16 +78,21 @@ def edges(spark, formulas: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "formula string, needs string")
 
 
-def reachable(graph: DataFrame, start: list[str], dependents: bool = False, most: int = 100) -> DataFrame:
-    """(name, depth): all that `start` needs, or with `dependents` all that need it, by repeated joins; at most `most` steps."""
+def reachable(graph: DataFrame, start: list[str], dependents: bool = False) -> DataFrame:
+    """(name, depth): all that `start` needs, or with `dependents` all that need it, by joins until nothing is new.
+
+    Each front is written, and every ten what is found, so plans stay short along a long chain.
+    """
     source, target = ("needs", "formula") if dependents else ("formula", "needs")
     spark = graph.sparkSession
     found = spark.createDataFrame([(s,) for s in start], "name string").withColumn("depth", F.lit(0))
     edge = graph.select(F.lower(source).alias("a"), F.lower(target).alias("b"))
     front = found
-    for step in range(1, most + 1):
-        front = front.join(edge, F.lower("name") == F.col("a")).select(F.col("b").alias("name")).distinct().join(found.select("name"), "name", "left_anti").withColumn("depth", F.lit(step)).cache()
+    for step in count(1):
+        front = materialise(front.join(edge, F.lower("name") == F.col("a")).select(F.col("b").alias("name")).distinct().join(found.select("name"), "name", "left_anti").withColumn("depth", F.lit(step)))
         if front.isEmpty():
             break
         found = found.unionByName(front)
+        if step % 10 == 0:
+            found = materialise(found)
     return found.where("depth > 0")

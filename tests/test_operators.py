@@ -117,6 +117,11 @@ def test_recalculation_reports(spark):
     assert {(r["name"], r["depth"]) for r in recalc.reachable(graph, ["c"]).collect()} == {("b", 1), ("x", 2)}
 
 
+def test_reachable_follows_a_long_chain(spark):
+    graph = spark.createDataFrame([(f"f{k}", f"f{k + 1}") for k in range(104)] + [("f104", "f103")], "formula string, needs string").coalesce(1)
+    assert {(r["name"], r["depth"]) for r in recalc.reachable(graph, ["f0"]).collect()} == {(f"f{k}", k) for k in range(1, 105)}
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "k string, v double")
     assert ranking.rank(df, "v").count() == 0
