@@ -6,44 +6,16 @@ tables go to the folder that the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys are broadcast only up to this many 8-byte values (8 MB); beyond it the join shuffles.
-BROADCAST_KEYS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    return root
+from ..storage import materialise, shared_dir
 
+__all__ = ["BROADCAST_KEYS", "BoundedCache", "is_held_out", "is_training", "join_by_size", "materialise", "mix64", "semi_by_size", "shared_dir", "table"]
 
-def materialise(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends here, and a lost executor costs a reread.
-
-    The files are removed when the session's file system closes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}/{tag}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+#: Keys are broadcast only up to this many 8-byte values (8 MB); beyond it the join shuffles.
+BROADCAST_KEYS = 1_000_000
 
 
 def semi_by_size(df: DataFrame, keys: DataFrame, col: str, n_keys: int) -> DataFrame:
@@ -52,6 +24,11 @@ def semi_by_size(df: DataFrame, keys: DataFrame, col: str, n_keys: int) -> DataF
     return df.join(right, col, "left_semi")
 
 
+def join_by_size(df: DataFrame, small: DataFrame, on: str | list[str], n_small: int, how: str = "inner") -> DataFrame:
+    """`df` joined to the right side `small`, broadcast if its `n_small` rows are few enough, else by shuffle."""
+    return df.join(F.broadcast(small) if n_small <= BROADCAST_KEYS else small.hint("shuffle_merge"), on, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

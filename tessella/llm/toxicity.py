@@ -353,14 +353,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int]
     """A bounded sample (doc_id, text, y) of the labelled training rows, and the share of label 1 among all of them.
 
     rows: at most so many ids of label 1 and of label 0, chosen by a hash of the id;
-    chars: rows with longer texts are left out of the sample. Ids labelled twice count
-    by the larger label; rows without id or label train nothing.
+    chars: rows with longer texts are left out of the sample. An id gives one text, the
+    least of its own, however many rows repeat it. Ids labelled twice count by the
+    larger label; rows without id or label train nothing.
     """
     own = labels.where(is_training(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     share = own.agg(F.avg("y")).first()[0] or 0.0
     ids = [own.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, rows[0]), (0, rows[1]))]
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
-    return chosen.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id"), float(share)
+    return chosen.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"), float(share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: tuple[int, int] = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict:
