@@ -1,15 +1,17 @@
 """Exact top-k search by tiled matrix products.
 
-Vectors are packed into tiles of a fixed number of rows, queries into blocks.
-Every tile meets every block of queries once, as one matrix product; from each
-product only k scores a query are selected, and a task folds the lists of the
-tiles it reads before it passes any on. The lists then merge as a tree: by groups
-of tasks, then by query. What moves is bounded by queries x groups x k, never by
-queries x rows.
+Vectors are packed into tiles of a fixed number of rows where they are read, queries
+into blocks. A round broadcasts as many blocks as its bound of bytes allows, and
+every tile meets each of them once, as one matrix product, so vectors are neither
+shuffled nor sorted: a round reads them once. From each product only k scores a query
+are selected, and a task folds the lists of the tiles it reads before it passes any
+on. The lists then merge as a tree: by groups of tasks, then by query. What moves is
+bounded by queries x tasks x k, never by queries x rows.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Rows of a tile and of a block of queries (with 64 dimensions 1 MB and 0.5 MB).
 TILE_ROWS = 2048
 BLOCK_QUERIES = 1024
 
+#: Bytes of the blocks that one round broadcasts at most (a single block may exceed them: its rows are fixed).
+ROUND_BYTES = 64 << 20
+
 PACKED = "dim int, ids binary, data binary"
 
 
@@ -75,56 +82,73 @@ NONE = np.iinfo(np.int64).min + 1
 
 
 def _multiply(k: int):
-    """(block, tile) pairs to the k best of each query over all tiles that this task reads of the block."""
+    """(tile, block) pairs to the k best of each query over all tiles that this task reads, block by block."""
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, q_ids, q, top_ids, top = None, None, None, None, None
-
-        def out() -> pd.DataFrame:
-            i = np.repeat(q_ids, top.shape[1])
-            ok = top.ravel() != NONE
-            return pd.DataFrame({"query_id": i[ok], "vec_id": top_ids.ravel()[ok], "score": top.ravel()[ok]})
-
+        held: dict[int, tuple] = {}
         for b in batches:
             for block, dim, qi, qd, ti, td in b[["block", "dim", "q_ids", "q_data", "ids", "data"]].itertuples(index=False):
-                if (block, dim) != at:
-                    if at is not None:
-                        yield out()
-                    at, q_ids = (block, dim), np.frombuffer(qi, "<i8")
-                    q = np.frombuffer(qd, "<i8").reshape(len(q_ids), dim)
-                    top_ids, top = np.zeros((len(q_ids), 0), np.int64), np.zeros((len(q_ids), 0), np.int64)
+                if block not in held:
+                    q_ids = np.frombuffer(qi, "<i8")
+                    none = np.zeros((len(q_ids), 0), np.int64)
+                    held[block] = q_ids, np.frombuffer(qd, "<i8").reshape(len(q_ids), dim), none, none
+                q_ids, q, top_ids, top = held[block]
                 ids = np.frombuffer(ti, "<i8")
                 scores = _product(q, np.frombuffer(td, "<i8").reshape(len(ids), dim))
                 scores[q_ids[:, None] == ids[None, :]] = NONE
                 got_ids, got = select(ids, scores, min(k, len(ids)))
                 both_ids, both = np.concatenate([top_ids, got_ids], 1), np.concatenate([top, got], 1)
                 best = np.lexsort((both_ids, -both), axis=1)[:, :k]
-                top_ids, top = np.take_along_axis(both_ids, best, 1), np.take_along_axis(both, best, 1)
-        if at is not None:
-            yield out()
+                held[block] = q_ids, q, np.take_along_axis(both_ids, best, 1), np.take_along_axis(both, best, 1)
+        for q_ids, _, top_ids, top in held.values():
+            ok = top.ravel() != NONE
+            yield pd.DataFrame({"query_id": np.repeat(q_ids, top.shape[1])[ok], "vec_id": top_ids.ravel()[ok], "score": top.ravel()[ok]})
 
     return multiply
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tile_rows: int = TILE_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def rounds(blocks: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """Numbers of `blocks` (number, bytes) in runs of at most `most` bytes; a larger block is a run by itself."""
+    out: list[list[int]] = []
+    room = 0
+    for number, size in blocks:
+        if not out or size > room:
+            out.append([])
+            room = most
+        out[-1].append(number)
+        room -= size
+    return out
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tile_rows: int = TILE_ROWS, block_queries: int = BLOCK_QUERIES, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query over all `vectors` but its own id.
 
-    Both tables hold (vec_id, v array<long>), see `quantised`. Only vectors of the
-    query's dimension are compared. Ties go to the smaller vec_id. A query with
-    fewer candidates has fewer rows. Repeated rows of an id count as candidates
-    each; a repeated query id is answered once, by its smallest vector.
+    Both tables hold (vec_id, v array<long>), see `quantised`; other columns are not
+    read. Only vectors of the query's dimension are compared. Ties go to the smaller
+    vec_id. A query with fewer candidates has fewer rows. Repeated rows of an id count
+    as candidates each; a repeated query id is answered once, by its smallest vector.
     """
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    tiles = vectors.mapInPandas(_pack(tile_rows), PACKED)
-    groups = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = queries.mapInPandas(_pack(block_queries), PACKED).select(F.xxhash64("ids").alias("block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    # Tiles stay whole and move once; the few blocks of queries are repeated for every group of tiles.
-    dealt = tiles.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    asked = blocks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    pairs = dealt.join(asked.hint("shuffle_merge"), ["g", "dim"]).sortWithinPartitions("g", "block")
-    lists = pairs.select("block", "dim", "q_ids", "q_data", "ids", "data").mapInPandas(_multiply(k), "query_id long, vec_id long, score long")
+    packed = queries.mapInPandas(_pack(block_queries), PACKED)
+    blocks = materialise(packed.select(F.monotonically_increasing_id().alias("block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "blocks")
+    # The plan of the rounds: two numbers for each block of queries.
+    sizes = [tuple(r) for r in blocks.select("block", F.length("q_ids") + F.length("q_data")).orderBy("block").collect()]
+    runs = rounds(sizes, round_bytes) or [[]]
+    done = [_merged(_lists(vectors, blocks.where(F.col("block").between(run[0], run[-1]) if run else F.lit(False)), k, tile_rows), k) for run in runs]
+    # Rounds answer different queries; each is written before the next broadcasts.
+    return done[0] if len(runs) == 1 else functools.reduce(DataFrame.unionByName, (materialise(d, "round") for d in done))
+
+
+def _lists(vectors: DataFrame, blocks: DataFrame, k: int, tile_rows: int) -> DataFrame:
+    """The lists that tasks found for the queries of `blocks`, which are broadcast."""
+    tiles = vectors.select("vec_id", "v").mapInPandas(_pack(tile_rows), PACKED)
+    pairs = tiles.join(F.broadcast(blocks), "dim").select("block", "dim", "q_ids", "q_data", "ids", "data")
+    return pairs.mapInPandas(_multiply(k), "query_id long, vec_id long, score long")
+
+
+def _merged(lists: DataFrame, k: int) -> DataFrame:
     by = [F.desc("score"), F.asc("vec_id")]
-    branch = max(2, int(groups**0.5))
+    branch = max(2, int(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     part = lists.withColumn("b", F.pmod(F.spark_partition_id(), F.lit(branch)))
     for keys in (["query_id", "b"], ["query_id"]):
         part = part.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where(F.col("rank") <= k)
