@@ -86,19 +86,26 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
 
-def listed_hosts(pages: DataFrame) -> DataFrame:
-    """The dated list of op9, by a rule over the hosts of `pages` and a number that each host's MD5 gives it: a host whose number is
+def dated_list(pages: DataFrame) -> DataFrame:
+    """The dated list of op9, by a rule over the URLs of `pages` and a number that each host's MD5 gives it: a host whose number is
     divisible by 3 is listed from a day on, delisted 60 days later, and, if the number is even, listed again 90 days after that; hosts
-    naming pills or casinos are listed throughout."""
-    host = pages.select(url_filter.host_of(F.col("url")).alias("pattern")).where("pattern <> ''").distinct().withColumn("c", F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("int"))
+    naming pills or casinos are listed throughout. Of hosts whose number leaves 1 modulo 4, the first path segments are listed from
+    a day on; where it leaves 3, the first two are, for 120 days."""
+    number = F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("int")
+    named = pages.select(url_filter.host_of(F.col("url")).alias("host"), url_filter.segments_of(F.col("url")).alias("s")).where("host <> ''").withColumn("c", number)
+    host = named.select(F.col("host").alias("pattern"), "c").distinct()
+    path = lambda n, left: named.where((F.col("c") % 4 == left) & (F.size("s") >= n)).select(F.concat_ws("/", "host", F.array_join(F.slice("s", 1, n), "/")).alias("pattern"), "c").distinct()
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
     start, third = F.col("c") % 200, F.col("c") % 3 == 0
-    entry = lambda cond, name, event, at: host.where(cond).select("pattern", F.lit(name).alias("list"), F.lit(event).alias("event"), at.alias("at"))
+    entry = lambda rows, name, event, at: rows.select("pattern", F.lit(name).alias("list"), F.lit(event).alias("event"), at.alias("at"))
     return (
-        entry(third, "reported", "add", day(start))
-        .unionByName(entry(third, "reported", "remove", day(start + 60)))
-        .unionByName(entry(third & (F.col("c") % 2 == 0), "reported", "add", day(start + 150)))
-        .unionByName(entry(F.col("pattern").rlike("pills|casino"), "spam", "add", day(F.lit(0))))
+        entry(host.where(third), "reported", "add", day(start))
+        .unionByName(entry(host.where(third), "reported", "remove", day(start + 60)))
+        .unionByName(entry(host.where(third & (F.col("c") % 2 == 0)), "reported", "add", day(start + 150)))
+        .unionByName(entry(host.where(F.col("pattern").rlike("pills|casino")), "spam", "add", day(F.lit(0))))
+        .unionByName(entry(path(1, 1), "paths", "add", day(F.col("c") % 150)))
+        .unionByName(entry(path(2, 3), "paths", "add", day(F.col("c") % 100)))
+        .unionByName(entry(path(2, 3), "paths", "remove", day(F.col("c") % 100 + 120)))
     )
 
 
@@ -106,13 +113,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as fetched on a day that its id gives it."""
     pages = table(spark, sf_dir, "pages")
     captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")).alias("fetched_at"))
-    return url_filter.filter_urls(captures, listed_hosts(pages))
+    return url_filter.filter_urls(captures, dated_list(pages))
 
 
 OP9_SQL = r"""
 WITH p AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched_at,
-         lower(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '')) AS host
+         lower(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '')) AS host,
+         list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda s: s <> '') AS s
   FROM pages
 ), h AS (
   SELECT DISTINCT host AS pattern, CAST('0x' || substr(md5(host), 1, 6) AS INTEGER) AS c FROM p WHERE host <> ''
@@ -120,9 +128,12 @@ WITH p AS (
   SELECT pattern, 'reported' AS list, DATE '2024-01-01' + c % 200 AS a, DATE '2024-01-01' + (c % 200 + 60) AS z FROM h WHERE c % 3 = 0
   UNION ALL SELECT pattern, 'reported', DATE '2024-01-01' + (c % 200 + 150), NULL FROM h WHERE c % 6 = 0
   UNION ALL SELECT pattern, 'spam', DATE '2024-01-01', NULL FROM h WHERE regexp_matches(pattern, 'pills|casino')
+  UNION SELECT lower(host || '/' || s[1]), 'paths', DATE '2024-01-01' + c % 150, NULL FROM p JOIN h ON host = pattern WHERE c % 4 = 1 AND len(s) >= 1
+  UNION SELECT lower(host || '/' || s[1] || '/' || s[2]), 'paths', DATE '2024-01-01' + c % 100, DATE '2024-01-01' + (c % 100 + 120) FROM p JOIN h ON host = pattern WHERE c % 4 = 3 AND len(s) >= 2
 ), m AS (
   SELECT url, fetched_at, count(*) AS n, min(list) AS first_list
-  FROM (SELECT DISTINCT url, fetched_at, host FROM p) JOIN e ON (host = pattern OR ends_with(host, '.' || pattern)) AND a <= fetched_at AND (z IS NULL OR fetched_at < z)
+  FROM (SELECT DISTINCT url, fetched_at, host, s FROM p) JOIN e ON (host = pattern OR ends_with(host, '.' || pattern) OR lower(host || '/' || s[1]) = pattern OR lower(host || '/' || s[1] || '/' || s[2]) = pattern)
+    AND a <= fetched_at AND (z IS NULL OR fetched_at < z)
   GROUP BY ALL
 )
 SELECT page_id, p.url, p.fetched_at, host, coalesce(n, 0) AS n_matches, first_list, n IS NOT NULL AS blocked
