@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, materialise, mix64, semi_by_size
+from .common import BoundedCache, join_by_size, materialise, mix64, semi_by_size
 
 #: Words of a shingle; least similarity; bands and registers of each. A pair at 0.8 shares no band with probability 3e-6.
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 5
@@ -38,6 +38,9 @@ ONE_TASK = 1_000_000
 #: Nodes of a bucket up to which its pairs are listed, nodes of a tile, and columns of a tile's matrix at a time.
 SMALL, TILE, COLUMNS = 24, 512, 8192
 
+#: Pairs of a hub that one task verifies, about.
+PART = 256
+
 _ODD = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(7).integers(1, 2**62, 64)]
 
 
@@ -211,13 +214,15 @@ def _across_large(docs: DataFrame, placed: DataFrame, n_words: int, least: float
     from the others, and two tiles of that class never meet.
     """
     rows = materialise(placed.distinct(), "large")
-    if rows.isEmpty():
+    main = materialise(rows.where("node = hub").select("hub", F.col("class").alias("main_class")), "main")
+    n_hubs = main.count()
+    if not n_hubs:
         return rows.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    main = rows.where("node = hub").select("hub", F.col("class").alias("main_class"))
-    tagged = rows.join(main, "hub").withColumn("main", F.col("class") == F.col("main_class"))
+    # Hubs have more than SMALL nodes each; what is known of a hub comes to its nodes, which stay where they are.
+    tagged = join_by_size(rows, main, "hub", n_hubs).withColumn("main", F.col("class") == F.col("main_class"))
     tiles = lambda c: F.ceil(F.count_if(c) / TILE).cast("int")
-    sizes = tagged.groupBy("hub").agg(tiles(F.col("main")).alias("tm"), tiles(~F.col("main")).alias("to"))
-    at = tagged.join(sizes, "hub").where("to > 0").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("tm")).otherwise(F.col("to"))).cast("int"))
+    sizes = materialise(tagged.groupBy("hub").agg(tiles(F.col("main")).alias("tm"), tiles(~F.col("main")).alias("to")), "sizes")
+    at = join_by_size(tagged, sizes, "hub", n_hubs).where("to > 0").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("tm")).otherwise(F.col("to"))).cast("int"))
     each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     key = lambda main, t, u, side: F.struct(main.alias("main"), t.alias("t"), u.alias("u"), side.alias("side"))
     yes, no = F.lit(True), F.lit(False)
@@ -291,22 +296,23 @@ def near_classes(docs: DataFrame, n_words: int = WORDS, least: float = SIMILAR,
     member = signed.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("key")).alias("key"))
     nodes = signed.where("bands is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("n"))
     buckets = materialise(nodes.select(F.col("n.doc_id").alias("node"), F.explode("n.bands").alias("bucket")), "buckets")
-    size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the joins below are between plain tables, whose hot buckets the engine can split.
+    size = materialise(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "size")
     shared = materialise(buckets.join(size, "bucket"), "shared")
     met = shared.groupBy("node").agg(F.sum("n").alias("met"))
     hubs = shared.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("hub")).select("bucket", (-F.col("hub.minus")).alias("hub"))
     hubs = materialise(hubs, "hubs")
-    star = shared.join(hubs, "bucket").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    star = shared.join(hubs, "bucket").where("node <> hub").groupBy(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).agg(F.min("hub").alias("hub"))
     tried = materialise(star, "star")
     keys = member.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
     linked = materialise(_verified(named, tried, n_words, least), "linked")
     first = materialise(components(linked), "classes")
     placed = shared.join(first, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
+    mixed = materialise(placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n"), "mixed")
     open_ = materialise(placed.join(mixed, "bucket"), "open")
     few = open_.where(F.col("n") <= SMALL)
     left, right = few.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca")), few.select("bucket", F.col("node").alias("b"), F.col("class").alias("cb"))
-    across = left.join(right, "bucket").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    across = left.join(right, "bucket").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti").withColumn("hub", F.col("a"))
     of_hubs = open_.where(F.col("n") > SMALL).join(hubs, "bucket").select("hub", "node", "class")
     more = materialise(_verified(named, materialise(across, "across"), n_words, least).unionByName(_across_large(named, of_hubs, n_words, least)), "more")
     merged = first if more.isEmpty() else components(linked.unionByName(more))
@@ -317,11 +323,22 @@ def near_classes(docs: DataFrame, n_words: int = WORDS, least: float = SIMILAR,
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n_words: int, least: float) -> DataFrame:
-    """The `pairs` (a, b) whose texts are similar enough; the texts that no pair names are not shuffled if the named are few."""
-    ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    texts = semi_by_size(docs, ids, "doc_id", ids.count())
-    a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verifier(n_words, least), "a long, b long")
+    """The `pairs` (a, b, hub: one of both) whose texts are similar enough.
+
+    A pair moves with the text of its other node; the hub's text moves once for every
+    part of at most PART pairs, so a hub of many pairs is neither copied to each nor
+    read by one task. Texts that no pair names are not shuffled if the pairs are few.
+    """
+    n_pairs = pairs.count()
+    own = pairs.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"))
+    hubs = materialise(own.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "hubs")
+    many = hubs.where("parts > 1")
+    of = join_by_size(own, many, "hub", many.count(), "left").select("hub", "node", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    text = lambda name: docs.select(F.col("doc_id").alias(name), "text")
+    nodes = join_by_size(text("node"), of, "node", 3 * n_pairs).select("hub", "part", "node", F.col("text").alias("text_b"))
+    centres = join_by_size(text("hub"), hubs, "hub", 2 * hubs.count()).dropDuplicates(["hub", "text"]).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("text_a"))
+    met = nodes.join(centres, ["hub", "part"]).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "text_a", "text_b")
+    return met.mapInPandas(_verifier(n_words, least), "a long, b long")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
