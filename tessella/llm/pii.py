@@ -33,6 +33,12 @@ MARK, NO_MARK = "\ue000", "\x01"
 #: Words of flagged texts, and hashes of texts with copies, that are broadcast at most.
 FEW = 500_000
 
+#: Lengths summed up in one run; code points of the pieces in which a text is rewritten, from large to small.
+RUN, PIECES = 128, [1 << 16, 1 << 10]
+
+#: Code points beside a mention in which its context is sought first, and of the pieces (at least one, then all) that are sought next.
+NEAR, PIECE = 192, 4096
+
 WORD = r"[\p{L}\p{N}_]+"
 
 #: Spans are ASCII: a word character inside one is read as its shadow, a private-use character, so a word tells where it stands.
@@ -53,16 +59,56 @@ class Limits:
     generalise_from: int = 8
 
 
-def _spans(source: Column, pattern: str, inner: str = "") -> Column:
+def _let(value: Column, then) -> Column:
+    """`then` of a value that is worked out once, though `then` names it in loops."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _ends(sizes: Column) -> Column:
+    """Running sums of an array of lengths. Runs of RUN are summed up alone and moved by the sum before them, so no array grows far."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    run = lambda a: F.aggregate(a, none, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")), lambda acc: acc["out"])
+    runs = lambda z: F.transform(F.sequence(F.lit(0), F.ceil(F.size(z) / RUN).cast("int") - 1), lambda c: run(F.slice(z, c * RUN + 1, RUN)))
+    moved = lambda r, base: F.flatten(F.transform(r, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda x: x + F.get(base, i - 1)))))
+    placed = lambda r: _let(run(F.transform(r, lambda p: F.element_at(p, -1))), lambda base: moved(r, base))
+    return _let(sizes, lambda z: F.when(F.size(z) <= RUN, run(z)).otherwise(_let(runs(z), placed)))
+
+
+def _spans(source: Column, pattern: str | Column, inner: str = "") -> Column:
     """Array of (start, end, value): all matches in `source`; in a value MARK is read as `inner`."""
-    got = F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(F.split(source, pattern, -1), 1, F.size(got)), got, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"), F.translate(m, MARK, inner).alias("v")))
-    zero = F.struct(F.lit(0).alias("at"), _empty().alias("out"))
-    return F.aggregate(
-        both, zero,
-        lambda acc, x: F.struct((acc["at"] + x["b"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["b"]).alias("start"), (acc["at"] + x["b"] + x["m"]).alias("end"), x["v"].alias("value")))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+
+    def placed(got: Column) -> Column:
+        sizes = F.zip_with(F.slice(F.split(source, pattern, -1), 1, F.size(got)), got, lambda b, m: F.length(b) + F.length(m))
+        at = lambda ends: F.transform(got, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), F.translate(m, MARK, inner).alias("value")))
+        return F.when(F.size(got) == 0, _empty()).otherwise(_let(_ends(sizes), at))
+
+    return _let(F.regexp_extract_all(source, pattern, F.lit(0)), placed)
+
+
+def _cut(text: Column, n: int) -> Column:
+    """`text` in pieces of `n` code points, the last one shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{n}}}+"), F.lit(0))
+
+
+def _rewritten(text: Column, spans: Column, piece) -> Column:
+    """`text` with its `spans` (start, end, by) rewritten by `piece` (text, spans) in pieces of bounded size.
+
+    A span that crosses into a further piece goes on there from its start with an
+    empty `by`. Positions are so only counted, and arrays only grown, within a piece.
+    """
+
+    def local(of: Column, at: Column, n: int) -> Column:
+        near = F.filter(of, lambda s: (s["end"] > at) & (s["start"] < at + n))
+        return F.transform(near, lambda s: F.struct(F.greatest(s["start"] - at, F.lit(0)).alias("start"), F.least(s["end"] - at, F.lit(n)).alias("end"), F.when(s["start"] >= at, s["by"]).otherwise("").alias("by")))
+
+    def level(sizes: list[int]):
+        n, *rest = sizes
+        inside = level(rest) if rest else piece
+        one = lambda of: lambda t, i: _let(local(of, i * n, n), lambda near: F.when(F.size(near) == 0, t).otherwise(inside(t, near)))
+        return lambda t, of: F.array_join(F.transform(_cut(t, n), one(of)), "")
+
+    return _let(F.array_sort(spans), lambda of: level(PIECES)(text, of))
 
 
 def _empty() -> Column:
@@ -117,14 +163,18 @@ def _entities(kind: str) -> Column:
 def _shaded(text: Column) -> Column:
     """`text` at the same length, word characters inside base spans as their shadows; its own shadows as control characters."""
     own = F.translate(text, SHADOW, NO_MARK * len(SHADOW))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = lambda a, b: F.substring(own, a + 1, b - a)
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["end"] > acc["at"], F.concat(acc["out"], F.array(cut(acc["at"], F.greatest(acc["at"], s["start"])), F.translate(cut(F.greatest(acc["at"], s["start"]), s["end"]), PLAIN, SHADOW)))).otherwise(acc["out"]).alias("out"),
-    )
-    spans = F.array_sort(F.concat(*KINDS))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(own, acc["at"] + 1, F.length(own)))), "")))
+
+    def piece(t: Column, spans: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        cut = lambda a, b: F.substring(t, a + 1, b - a)
+        step = lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["end"] > acc["at"], F.concat(acc["out"], F.array(cut(acc["at"], F.greatest(acc["at"], s["start"])), F.translate(cut(F.greatest(acc["at"], s["start"]), s["end"]), PLAIN, SHADOW)))).otherwise(acc["out"]).alias("out"),
+        )
+        return F.aggregate(spans, zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, F.length(t)))), ""))
+
+    spans = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("by"))) for k in KINDS])
+    return F.when(F.size(F.concat(*KINDS)) > 0, _rewritten(own, spans, piece))
 
 
 def _generalised(kind: str) -> Column:
@@ -139,14 +189,33 @@ def disclosing_terms(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
     words are all candidates, however short and whatever their characters, but for
     those that lie inside a base span; limits alone decide among them.
     """
-    reach = limits.window * 24
-    tagged = found.select("text", _shaded(F.col("text")).alias("shaded"), F.concat(*[_entities(k) for k in KINDS]).alias("s")).select("text", "shaded", F.explode("s").alias("s"))
-    left = F.expr(f"substring(shaded, greatest(s.start - {reach}, 0) + 1, least(s.start, {reach}))")
-    right = F.expr(f"substring(shaded, s.end + 1, {reach})")
     near = lambda c: F.regexp_extract_all(c, F.lit(SHADED_WORD), F.lit(0))
     lit = lambda w: F.lower(F.translate(w, SHADOW, PLAIN))
-    l, r = near(left), near(right)
-    sides = tagged.select(F.xxhash64("text").alias("doc"), F.col("s.entity").alias("entity"), F.slice(l, F.greatest(F.size(l) - limits.window + 1, F.lit(1)), F.lit(limits.window)).alias("l"), F.slice(r, 1, limits.window).alias("r"))
+
+    def beside(nearest: Column, short: Column, more: Column, all_of_it: Column, whole: Column) -> Column:
+        """Words of the nearest characters if they surely hold `window` uncut ones or are all there are, else of more, else of all."""
+        enough = lambda w: F.size(w) > limits.window
+        return _let(near(nearest), lambda w: F.when(enough(w) | short, w).otherwise(_let(near(more), lambda v: F.when(enough(v) | all_of_it, v).otherwise(near(whole)))))
+
+    def mention(p: Column, s: Column) -> Column:
+        """Entity and words on both sides of a mention in a text cut into pieces `p`."""
+        i, k = F.floor(s["start"] / PIECE).cast("int"), F.floor(s["end"] / PIECE).cast("int")
+        piece = lambda n: F.coalesce(F.get(p, n), F.lit(""))
+        before = F.concat(F.when(i > 0, piece(i - 1)).otherwise(""), F.substring(piece(i), F.lit(1), s["start"] - i * PIECE))
+        after = F.concat(F.substring(piece(k), s["end"] - k * PIECE + 1, F.lit(PIECE)), piece(k + 1))
+        all_before = lambda t: F.concat(F.array_join(F.slice(p, 1, F.greatest(i - 1, F.lit(0))), ""), t)
+        all_after = lambda t: F.concat(t, F.array_join(F.slice(p, F.least(k + 3, F.size(p) + 1), F.size(p)), ""))
+        l = _let(before, lambda t: beside(F.substring(t, F.lit(-NEAR), F.lit(NEAR)), s["start"] <= NEAR, t, i <= 1, all_before(t)))
+        r = _let(after, lambda t: beside(F.substring(t, F.lit(1), F.lit(NEAR)), F.length(t) <= NEAR, t, k + 2 >= F.size(p), all_after(t)))
+        last = lambda w: F.slice(w, F.greatest(F.size(w) - limits.window + 1, F.lit(1)), F.lit(limits.window))
+        return F.struct(s["entity"].alias("entity"), _let(l, last).alias("l"), F.slice(r, 1, limits.window).alias("r"))
+
+    # Outer, as the engine else works out all spans a second time to leave out rows without any; and only words leave a text's row.
+    tagged = found.select(F.xxhash64("text").alias("doc"), _shaded(F.col("text")).alias("shaded"), F.concat(*[_entities(k) for k in KINDS]).alias("s"))
+    each = F.when(F.size("s") > 0, _let(_cut(F.col("shaded"), PIECE), lambda p: F.transform(F.col("s"), lambda s: mention(p, s))))
+    mentions = tagged.select("doc", F.explode_outer(each).alias("m")).where("m is not null").select("doc", "m.*")
+    # One text's mentions once: the corpus is not read for them again.
+    sides = materialise(mentions, "mentions")
     term = F.array_distinct(F.transform(F.filter(F.concat("l", "r"), lambda w: w.rlike(OUTSIDE)), lit))
     rows = sides.select("entity", "doc", F.xxhash64(F.transform("l", lit), F.transform("r", lit)).alias("context"), F.explode(term).alias("term"))
     pairs = rows.distinct()
@@ -154,14 +223,14 @@ def disclosing_terms(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
     support = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= limits.support)
     both = pairs.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     candidates = materialise(support.join(both, ["entity", "term"]), "candidates")
-    entities = tagged.select(F.xxhash64("text").alias("doc"), F.col("s.entity").alias("entity")).join(candidates.select("entity").distinct(), "entity", "left_semi").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    entities = sides.select("doc", "entity").join(candidates.select("entity").distinct(), "entity", "left_semi").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     texts = materialise(found.select(F.xxhash64("text").alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("copies")), "texts")
     copied = texts.where("copies > 1")
     n_docs, n_copied = texts.count(), copied.count()
     # Every word's count, summed up in each task before it moves, meets the candidates only then. Each of c copies counts
     # 1 / c, so a text counts once and only hashes are joined; the sum is a whole number but for rounding.
     once_each = found.select(F.xxhash64("text").alias("doc"), _words(F.col("text")).alias("terms")).join(F.broadcast(copied) if n_copied <= FEW else copied.hint("shuffle_merge"), "doc", "left")
-    n_term = once_each.select(F.explode("terms").alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("weight")).groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_term"))
+    n_term = once_each.select(F.explode_outer("terms").alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("weight")).groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_term"))
     share = F.col("n_both") / F.greatest("n_term", "n_both")
     scored = candidates.join(n_term, "term").join(entities, "entity").select("term", share.alias("share"), F.log2(share * n_docs / F.col("n_entity")).alias("bits"))
     return scored.where((F.col("share") >= limits.share) & (F.col("bits") >= limits.bits)).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits"))
@@ -170,7 +239,7 @@ def disclosing_terms(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def find(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """`docs` (doc_id, text) with arrays of spans: email, ip, card, phone, and term for words that disclose an entity.
 
-    One row per row; a null text counts as empty. Positions are code points, ends
+    One row per row; a null text counts as empty, an empty table has no rows. Positions are code points, ends
     exclusive. Base spans stay whatever the corpus says.
     """
     found = with_base(docs)
@@ -178,12 +247,16 @@ def find(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     n = flagged.count()
     if not n:
         return found.withColumn("term", _empty())
-    by_text = semi_by_size(found.select(F.xxhash64("text").alias("_h"), F.explode(_words(F.col("text"))).alias("term")), flagged.select("term"), "term", n).groupBy("_h").agg(F.collect_set("term").alias("_terms"))
+    spelt = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)))
+    words = found.select(F.xxhash64("text").alias("_h"), F.explode_outer(spelt).alias("spelt")).withColumn("term", F.lower("spelt"))
+    by_text = semi_by_size(words, flagged.select("term"), "term", n).groupBy("_h").agg(F.array_sort(F.collect_set("spelt")).alias("_terms"))
     by_text = materialise(by_text, "by_text")
     size = by_text.agg(F.coalesce(F.sum(F.size("_terms") + 1), F.lit(0))).first()[0]
     # Few flagged texts come to the documents; many meet them in a shuffle.
     joined = found.withColumn("_h", F.xxhash64("text")).join(F.broadcast(by_text) if size <= FEW else by_text, "_h", "left")
-    term = F.when(F.col("_terms").isNotNull(), F.filter(_spans(F.col("text"), WORD), lambda s: F.array_contains(F.col("_terms"), F.lower(s["value"]))))
+    # A text's own spellings of its flagged words, as whole words: only they are matched, however many words it has.
+    whole = F.concat(F.lit(f"(?<!{WORD[:-1]})(?:"), F.array_join("_terms", "|"), F.lit(f")(?!{WORD[:-1]})"))
+    term = F.when(F.col("_terms").isNotNull(), _spans(F.col("text"), whole))
     return joined.withColumn("term", F.coalesce(term, _empty())).drop("_h", "_terms")
 
 
@@ -197,18 +270,21 @@ def digest(found: DataFrame) -> DataFrame:
 def sanitised(found: DataFrame, limits: Limits = Limits()) -> Column:
     """The text with base spans generalised to their kind, and disclosing terms generalised ("[TERM]") or, when short, removed."""
     spans = F.concat(*[_generalised(k) for k in KINDS], F.transform("term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(F.length(s["value"]) >= limits.generalise_from, "[TERM]").otherwise("").alias("by"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.col("text")
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["by"]))).otherwise(acc["out"]).alias("out"),
-    )
-    done = F.aggregate(F.array_sort(spans), zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), ""))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+    def piece(t: Column, of: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        step = lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), s["by"]))).otherwise(acc["out"]).alias("out"),
+        )
+        return F.aggregate(of, zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, F.length(t)))), ""))
+
+    return F.when(F.size(spans) > 0, _rewritten(F.col("text"), spans, piece)).otherwise(F.col("text"))
 
 
 def sanitise(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """`docs` with all columns and rows, the text sanitised and n_chars, where there is one, its new length; a null text stays null.
+    """`docs` with all columns and rows, the text sanitised and n_chars, where there is one, its new length; a null text stays
+    null, an empty table stays empty.
 
     Found rows meet their documents by the text itself being carried along, so no
     join on an id can confuse rows that share one.
