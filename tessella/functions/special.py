@@ -18,7 +18,7 @@ _erf, _erfc = np.frompyfunc(math.erf, 1, 1), np.frompyfunc(math.erfc, 1, 1)
 def lgamma(x):
     x = np.asarray(x, float)
     ok = np.isfinite(x) & ~((x <= 0) & (x == np.floor(x)))
-    return np.where(ok, _lgamma(np.where(ok, x, 1.0)).astype(float), np.nan)
+    return np.where(ok, np.asarray(_lgamma(np.where(ok, x, 1.0)), float), np.nan)
 
 
 def gamma(x):
@@ -28,11 +28,11 @@ def gamma(x):
 
 
 def erf(x):
-    return _erf(np.asarray(x, float)).astype(float)
+    return np.asarray(_erf(np.asarray(x, float)), float)
 
 
 def erfc(x):
-    return _erfc(np.asarray(x, float)).astype(float)
+    return np.asarray(_erfc(np.asarray(x, float)), float)
 
 
 def norm_cdf(z):

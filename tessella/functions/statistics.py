@@ -64,7 +64,11 @@ def _hyper_pmf(k, n, big_k, big_n):
 
 def _hyper(k, n, big_k, big_n, c):
     k, n, big_k, big_n = (np.floor(x) for x in (k, n, big_k, big_n))
-    cdf = np.array([_hyper_pmf(np.arange(a + 1), b, d, e).sum() if f else 0.0 for a, b, d, e, f in zip(k, n, big_k, big_n, c, strict=True)])
+    cdf, asked = np.zeros(len(k)), np.asarray(c, bool)
+    if asked.any():
+        lowest = np.maximum(0, n + big_k - big_n)
+        for j in range(int((k - lowest)[asked].max()) + 1):
+            cdf += np.where(lowest + j <= k, _hyper_pmf(lowest + j, n, big_k, big_n), 0.0)
     return _pick(c, cdf, _hyper_pmf(k, n, big_k, big_n))
 
 
