@@ -114,7 +114,10 @@ def matches(c: Column, t: str, criterion) -> Column:
         hit = ~same if op == "<>" else same
     else:
         hit = _compare(F.lower(c), op, F.lit(rest.lower()))
-    return F.coalesce(hit, F.lit(op == "<>"))
+    if op == "<>":
+        return F.coalesce(hit, yes)
+    # Never null, and in a form that reaches the scan where the comparison does; text that is no number compares as null.
+    return F.coalesce(hit, no) if t == "t" and number is not None else c.isNotNull() & hit
 
 
 def all_of(df: DataFrame, pairs: list[tuple[str, object]]) -> Column:
