@@ -6,13 +6,17 @@ plain terms. Sums of doubles are rounded on both sides, as their order is free.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_functions
 from .operators import criteria, database, editing, lookup, models, ranking, relational
 from .plans import compiler, recalc
+from .sources import delimited, workbook, workbook_writer
+from .storage import shared_dir
 from .streaming import windows
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,11 +40,11 @@ def query(*tables: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | catalog_functions.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | catalog_functions.oracle_sql()
 
 
 def _r(c, digits: int = 4):
@@ -134,9 +138,9 @@ def subtotal_rollup(li):
     return relational.subtotal(rows, ["late"], 4, "l_extendedprice").select("late", _r("subtotal", 2).alias("subtotal"))
 
 
-@query("orders", sql="SELECT o_orderpriority, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS joined FROM orders WHERE o_orderkey < 2000 GROUP BY 1")
+@query("orders", sql="SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS joined FROM orders GROUP BY 1")
 def textjoin_by_group(o):
-    return relational.text_join(o.where("o_orderkey < 2000"), ["o_orderpriority"], "o_orderstatus", ",", F.col("o_orderkey"))
+    return relational.text_join(o, ["o_custkey"], "o_orderstatus", ",", F.col("o_orderkey"))
 
 
 # Lookups and joins.
@@ -185,9 +189,9 @@ def countif_semi(c, o):
     return lookup.semi(c, "c_custkey", o, "o_custkey").select("c_custkey")
 
 
-@query("customer", "orders", sql="SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("customer", "orders", sql="SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def countif_anti(c, o):
-    return lookup.semi(c, "c_custkey", o, "o_custkey", anti=True).select("c_custkey")
+    return lookup.semi(c, "c_custkey", o.where("o_totalprice > 300000"), "o_custkey", anti=True).select("c_custkey")
 
 
 @query("lineitem", "orders", "customer", "nation", sql="SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= DATE '1997-01-01' GROUP BY 1")
@@ -261,9 +265,9 @@ def intersect_keys(c, s):
     return c.select(F.col("c_nationkey").alias("k")).intersect(s.select("s_nationkey"))
 
 
-@query("orders", "customer", sql="SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("orders", "customer", sql="SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def except_keys(o, c):
-    return c.select(F.col("c_custkey").alias("k")).subtract(o.select("o_custkey"))
+    return c.select(F.col("c_custkey").alias("k")).subtract(o.where("o_totalprice > 300000").select("o_custkey"))
 
 
 @query("lineitem", sql="SELECT l_orderkey, place, name, value FROM (SELECT l_orderkey, 0 AS place, 'l_quantity' AS name, l_quantity AS value FROM lineitem UNION ALL SELECT l_orderkey, 1, 'l_tax', l_tax FROM lineitem)")
@@ -562,3 +566,43 @@ def session_windows(e):
 @query("events", sql="SELECT w AS window_start, w + INTERVAL 2 HOUR AS window_end, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1")
 def sliding_window(e):
     return windows.sliding(e, "ts", "2 hours", "1 hour", [], F.count(F.lit(1)).alias("n"))
+
+
+# Sources and sinks: a table written to the shared folder and scanned back.
+
+_PARTS = "SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part"
+
+
+def _back(df: DataFrame) -> DataFrame:
+    return df.select(F.col("p_partkey").cast("long"), "p_name", F.col("p_size").cast("long"), F.col("p_retailprice").cast("double"))
+
+
+def _target(df: DataFrame, tag: str) -> str:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return f"{path}/{tag}"
+
+
+@query("part", sql=_PARTS)
+def csv_round_trip(p):
+    path = _target(p, "csv")
+    delimited.write_csv(p.select("p_partkey", "p_name", "p_size", "p_retailprice"), path)
+    return _back(delimited.read_csv(p.sparkSession, path, infer=True))
+
+
+@query("part", sql=_PARTS)
+def json_round_trip(p):
+    path = _target(p, "json")
+    delimited.write_json(p.select("p_partkey", "p_name", "p_size", "p_retailprice"), path)
+    return _back(delimited.read_json(p.sparkSession, path))
+
+
+@query("part", sql=_PARTS)
+def sheet_round_trip(p):
+    """Workbooks written by the executors, and scanned by a task each."""
+    path = _target(p, "books").removeprefix("file://").removeprefix("file:")
+    workbook_writer.write_parts(p.select("p_partkey", "p_name", "p_size", "p_retailprice"), path).count()
+    workbook.register(p.sparkSession)
+    return _back(workbook.load_sheet(p.sparkSession, path))
