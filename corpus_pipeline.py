@@ -44,7 +44,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("pii", sanitise), ("packing", pack)]
 
-#: The network, the signatures and the packing have no SQL; tests hold each stage against a brute-force version.
+#: The network, the signatures and the packing have no SQL. Tests hold the operators of stages 2 to 5 against brute force, and run
+#: the stages on small tables.
 ORACLE_SQL = None
 
 
