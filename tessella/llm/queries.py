@@ -70,7 +70,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), path, _pattern()), path)
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), path, _pattern())
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

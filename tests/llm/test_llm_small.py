@@ -2,13 +2,16 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tessella.llm import byte_bpe, exact_dedup, near_dedup, packing, pii, quality, token_counts, topk_search, toxicity, url_filter
@@ -65,12 +68,30 @@ def test_byte_bpe_round_trip(spark):
     random.seed(2)
     alphabet = "aab bc  \n\t'sll dve123.,!?éß你好😀 　\x1c\x85Ǆ-_|"
     rows = ODD + [(100 + k, "".join(random.choice(alphabet) for _ in range(random.randint(0, 80)))) for k in range(400)]
-    ids = byte_bpe.encode(frame(spark, rows), path, P.PATTERN, block_chars=500, owners=7)
-    got = sorted(((r["doc_id"] or 0), np.frombuffer(r["ids"], "<u4").tolist()) for r in ids.collect())
-    assert got == sorted(((i or 0), enc.encode_ordinary(t or "")) for i, t in rows)
+    want = sorted(((i or 0), enc.encode_ordinary(t or "")) for i, t in rows)
+    for region in (1 << 30, 2000):  # one level of owners, and two
+        ids = byte_bpe.encode(frame(spark, rows), path, P.PATTERN, block_chars=500, region_bytes=region, owner_bytes=300)
+        assert sorted(((r["doc_id"] or 0), r["ids"]) for r in ids.collect()) == want
     back = sorted(((r["doc_id"] or 0), bytes(r["bytes"])) for r in byte_bpe.decode(ids, path).collect())
     assert back == sorted(((i or 0), (t or "").encode()) for i, t in rows)
-    assert byte_bpe.digests(byte_bpe.encode(frame(spark, []), path, P.PATTERN), path).count() == 0
+    assert byte_bpe.digests(frame(spark, []), path, P.PATTERN).count() == 0
+    digests = sorted((r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.digests(frame(spark, rows), path, P.PATTERN, block_chars=500).collect())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert digests == sorted((i or 0, len(x := enc.encode_ordinary(t or "")), sha(",".join(map(str, x)).encode()), sha((t or "").encode())) for i, t in rows)
+
+
+def test_decoding_checks_ids(spark):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # documents that go over batches
+    try:
+        ids = spark.createDataFrame([(1, [7, 8, 9, 10, 11], "x"), (2, None, "y"), (3, [], "z"), (4, [50], None), (5, list(range(40)), "v")], "doc_id long, ids array<int>, pos string")
+        ranks = {i: t for t, i in byte_bpe.load_ranks(path).items()}
+        got = {r["doc_id"]: (bytes(r["bytes"]), r["pos"]) for r in byte_bpe.decode(ids, path, at_once=6).collect()}
+        assert got == {r["doc_id"]: (b"".join(ranks[i] for i in r["ids"] or []), r["pos"]) for r in ids.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(Exception, match="not in the token-byte table"):
+        byte_bpe.decode(spark.createDataFrame([(1, [10**9])], "doc_id long, ids array<int>"), path).collect()
 
 
 def test_chunks_never_cut_a_token():
@@ -273,14 +294,83 @@ def test_pii_copies_count_once(spark, monkeypatch):
     assert terms(rows + copies) == want
 
 
+def brute_terms(texts, limits):
+    """Disclosing terms by loops over distinct texts: {term: (share, bits)}."""
+    word = regex.compile(r"[\p{L}\p{N}_]+")
+    texts = sorted(set(texts))
+    holds = {t: {w.lower() for w in word.findall(t)} for t in texts}
+    contexts, both, with_entity = {}, {}, {}
+    for t in texts:
+        spans = [(kind, int(a), int(z)) for kind, a, z in (x.split(":") for x in plain_spans(t))]
+        inside = {i for _, a, z in spans for i in range(a, z)}
+        for kind, a, z in spans:
+            entity = f"{kind}:{t[a:z].lower()}"
+            with_entity.setdefault(entity, set()).add(t)
+            left = [(m.start(), m.end()) for m in word.finditer(t[:a])][-limits.window :]
+            right = [(z + m.start(), z + m.end()) for m in word.finditer(t[z:])][: limits.window]
+            key = (tuple(t[i:j].lower() for i, j in left), tuple(t[i:j].lower() for i, j in right))
+            for i, j in left + right:
+                if not set(range(i, j)) <= inside:
+                    contexts.setdefault((entity, t[i:j].lower()), set()).add(key)
+                    both.setdefault((entity, t[i:j].lower()), set()).add(t)
+    out = {}
+    for (entity, term), seen in contexts.items():
+        n = len(both[entity, term])
+        share = n / max(n, sum(term in holds[t] for t in texts))
+        bits = math.log2(share * len(texts) / len(with_entity[entity]))
+        if len(seen) >= limits.support and share >= limits.share and bits >= limits.bits:
+            old = out.get(term, (0.0, -1e9))
+            out[term] = (max(old[0], share), max(old[1], bits))
+    return out
+
+
+def test_pii_terms_against_brute_force(spark):
+    """Contexts behind padding, words cut by a span, spans that overlap, copies, and long tokens beside a mention."""
+    rng = random.Random(4)
+    vocab = [*"alpha beta Gamma δέλτα Wu 张伟 40417 x_1 the of and".split(), "w" * 150]
+    people = ["jo@corp.com", "10.1.2.3", "+44 20 7946 0958", "ann.lee@mail.example.org", "4111 1111 1111 1111"]
+    rows = []
+    for k in range(300):
+        words = [rng.choice(vocab) for _ in range(rng.randint(1, 30))]
+        who = rng.randrange(6)
+        if who < 5:
+            words.insert(rng.randint(0, len(words)), rng.choice(["", "id", " " * 300, "-" * 5000]) + people[who])
+            words.insert(rng.randint(0, len(words)), f"secret{who}")
+        rows.append((k, rng.choice([" ", " | ", "  "]).join(words)))
+    rows += [(400 + k, rows[k % 7][1]) for k in range(60)]
+    limits = pii.Limits(support=3, share=0.3, bits=1.0)
+    got = {r["term"]: (r["share"], r["bits"]) for r in pii.disclosing_terms(pii.with_base(frame(spark, rows)), limits).collect()}
+    want = brute_terms([t for _, t in rows], limits)
+    assert len(want) >= 5 and got.keys() == want.keys()
+    assert all(math.isclose(got[t][i], want[t][i], rel_tol=1e-9) for t in want for i in (0, 1))
+
+
+def test_pii_long_texts(spark):
+    """300,000 words with flagged terms, and 60,000 spans in one text, are found and rewritten in time that grows with the text."""
+    limits = pii.Limits(support=3, share=0.6, bits=3.0)
+    rows = [(k, f"{k}aaa secretive boss@corp.com {k}bbb") for k in range(8)] + [(50 + k, f"plain text number {k}") for k in range(200)]
+    long = "é word Secretive " * 100_000
+    many = " ".join(f"10.0.{k % 250}.{k % 99} a{k}@b.org" for k in range(30_000))
+    pii.sanitise(frame(spark, rows), limits).count()
+    began = time.perf_counter()
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, [*rows, (300, long), (301, many)]), limits).where("doc_id >= 300").collect()}
+    took = time.perf_counter() - began
+    assert out[300] == "é word [TERM] " * 100_000 and out[301] == " ".join(["[IP] [EMAIL]"] * 30_000)
+    spans = {r["doc_id"]: r for r in pii.digest(pii.find(frame(spark, [*rows, (300, long), (301, many)]), limits)).where("doc_id >= 300").collect()}
+    assert spans[300]["spans"].split(",") == [f"term:{17 * k + 7}:{17 * k + 16}" for k in range(100_000)]
+    assert (spans[301]["n_email"], spans[301]["n_ip"]) == (30_000, 30_000) and spans[301]["spans"] == ",".join(plain_spans(many))
+    assert took < 60, took
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(10)
     v = np.round(rng.standard_normal((300, 8)) * 0.5, 1)
     rows = [(k, [float(x) for x in r]) for k, r in enumerate(v)] + [(1000, None), (1001, [1.0] * 7 + [None]), (1002, [float("nan")] * 8), (1003, [1.0, 2.0]), (1004, [2.0, 1.0]), (5, [0.1] * 8), (None, [0.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    q = topk_search.quantised(df, "vec_id", "embedding")
-    got = {}
-    for r in topk_search.top_k(q, q.where("vec_id % 50 = 3 OR vec_id = 1003"), 4, tile_rows=7, block_queries=3).collect():
+    q = topk_search.quantised(df, "vec_id", "embedding").withColumn("block", F.lit(0)).withColumn("dim", F.lit("clash"))
+    got, one = {}, topk_search.top_k(q, q.where("vec_id % 50 = 3 OR vec_id = 1003"), 4, tile_rows=7, block_queries=3).collect()
+    assert sorted(one) == sorted(topk_search.top_k(q, q.where("vec_id % 50 = 3 OR vec_id = 1003"), 4, tile_rows=7, block_queries=3, round_bytes=300).collect())
+    for r in one:
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     ok = [(i, np.floor(1024 * np.array(x, float)).astype(int)) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all()]
     for i, x in ok:
@@ -310,6 +400,32 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, fetched_at date"), entries).count() == 0
 
 
+def test_url_filter_against_brute_force(spark):
+    """Hot patterns in many parts, deep paths, very long URLs and many lists, against a loop over all entries."""
+    rng = np.random.default_rng(3)
+    names = ["hot.com", "a.hot.com", "b.org", "hot.com/p", "hot.com/p/q/r/s", "a.hot.com/" + "x" * 5000]
+    events = [(names[rng.integers(len(names))], f"l{rng.integers(4)}", "add" if rng.random() < 0.6 else "remove", int(rng.integers(100))) for _ in range(150)]
+    urls = ["http://" + u for u in [*names, "hot.com/p/q", "hot.com/p/q/r/s/t?u", "c.b.org//p", "www.a.hot.com/" + "x" * 5000 + "/y", "a.hot.com/" + "x" * 5000 + "/y", "none.net"]]
+    rows = [(k, urls[0] if rng.random() < 0.4 else urls[rng.integers(len(urls))], int(rng.integers(100))) for k in range(600)]
+
+    def active(pattern, name, t):
+        state = False
+        for e in sorted({(at, event) for p, n, event, at in events if (p, n) == (pattern, name) and at <= t}):
+            state = e[1] == "add"
+        return state
+
+    def matches(url, t):
+        host, *s = [x for x in url.removeprefix("http://").split("?")[0].split("/") if x]
+        labels = host.split(".")
+        keys = {host} | {".".join(labels[i:]) for i in range(len(labels) - 1)} | {"/".join([host, *s[:n]]) for n in range(1, len(s) + 1)}
+        return sorted(name for k in keys for name in {n for _, n, _, _ in events} if active(k, name, t))
+
+    want = {k: (len(m := matches(u, t)), min(m, default=None)) for k, u, t in rows}
+    for part in (2_000, 20):
+        out = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, fetched_at int"), spark.createDataFrame(events, "pattern string, list string, event string, at int"), part)
+        assert {r["page_id"]: (r["n_matches"], r["first_list"]) for r in out.collect()} == want
+
+
 def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
