@@ -286,7 +286,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
     first = np.cumsum([0, *(len(s) for s in starts)])
     for epoch in range(epochs):
         refresh()
-        logits, of = scorer.window_logits(rows)
+        logits, of = scorer.window_logits(rows, 256)
         pick, want = [], []
         for d in range(len(rows)):
             own = logits[first[d] : first[d + 1]]
@@ -329,7 +329,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
                 m2 += 0.01 * (grad * grad - m2)
                 p[k] -= np.float32(lr) * (m1 / np.float32(1 - 0.9**step)) / (np.sqrt(m2 / np.float32(1 - 0.99**step)) + np.float32(1e-8))
     refresh()
-    logits, of = scorer.window_logits(rows)
+    logits, of = scorer.window_logits(rows, 256)
     worst = np.full(len(rows), -np.inf)
     np.maximum.at(worst, of, logits)
     model["shift"] = threshold(worst, y, prior)
@@ -367,8 +367,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int]
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: tuple[int, int] = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict:
     """The trained network; a text repeated in the sample trains once."""
     chosen, share = sample(docs, labels, label, rows, chars)
-    got = chosen.toPandas().sort_values(["doc_id", "text"], kind="stable").drop_duplicates("text")
-    return train(got["text"].tolist(), got["y"].to_numpy(), share)
+    got = chosen.select("doc_id", "text", "y").toArrow().to_pandas().sort_values(["doc_id", "text"], kind="stable").drop_duplicates("text")
+    texts, y = got["text"].tolist(), got["y"].to_numpy()
+    del got
+    return train(texts, y, share)
 
 
 def scoring(docs: DataFrame, model: dict):
