@@ -499,6 +499,62 @@ def test_quality_threshold(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def noisy(k, rng):
+    """A text of label 1 or 0 whose labels overlap, so that no cut is without misses."""
+    bad = bool(rng.random() < 0.3)
+    w = [f"w{i}" for i in rng.integers(0, 60 if bad else 90, int(rng.integers(5, 40)))]
+    return " ".join(w + ["SPAM!"] * int(rng.integers(0, 4 if bad else 2))), int(not bad)
+
+
+def test_quality_counts_every_training_row(spark):
+    """More rows of label 1 than were once chosen (8,000): quantiles, mean and counts are those of all."""
+    rng = np.random.default_rng(17)
+    rows = [(k, f"{'word ' * int(rng.integers(1, 9))}{k}") for k in range(12_000)]
+    model = quality.fit(frame(spark, rows), labelled(spark, [(k, int(k % 40 != 0), 0) for k in range(12_000)]))
+    x = np.array([quality.features(t) for k, t in rows if zlib.crc32(str(k).encode()) % 5], np.float32).astype(float)
+    assert np.allclose(model["mean"], x.mean(0)) and np.allclose(model["sd"], np.maximum(x.std(0), 1e-9), atol=1e-6)
+    assert np.array_equal(model["cuts"], np.quantile(x, np.linspace(0, 1, quality.BINS + 1)[1:-1], axis=0, method="inverted_cdf").T)
+    assert model["n1"] + model["n0"] == len(x)
+
+
+def test_quality_learns_from_long_texts(spark):
+    """Texts beyond 200,000 characters, once left out of training, are all there is of label 0."""
+    rows = [(k, "spam " * 41_000 if k % 5 == 0 else " ".join(f"w{(k * 7 + i) % 97}" for i in range(60))) for k in range(60)]
+    got = quality.scored(frame(spark, rows), labelled(spark, [(k, int(k % 5 != 0), 0) for k in range(60)])).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 5 != 0) for r in got)
+
+
+def test_quality_against_all_pairs(spark, monkeypatch):
+    """Weights against plain Newton steps over every pair, the cut against every score; also with sums merged by tasks."""
+    rng = np.random.default_rng(19)
+    made = [noisy(k, rng) for k in range(400)]
+    docs, labels = frame(spark, [(k, t) for k, (t, _) in enumerate(made)]), labelled(spark, [(k, y, 0) for k, (_, y) in enumerate(made)])
+    model = quality.fit(docs, labels)
+    use = [(t, y) for k, (t, y) in enumerate(made) if zlib.crc32(str(k).encode()) % 5]
+    f = quality.spread(np.array([quality.features(t) for t, _ in use], np.float32), model["cuts"], model["mean"], model["sd"])
+    y = np.array([y for _, y in use])
+    d = (f[y == 1][:, None] - f[y == 0][None]).reshape(-1, f.shape[1])
+    w = np.zeros(d.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + quality.RIDGE * np.eye(len(w)), d.T @ p / len(d) - quality.RIDGE * w)
+    assert np.abs(f @ model["w"] - f @ w).max() < 0.01 * np.abs(f @ w).max()
+    s = f @ model["w"]
+    misses = lambda cut: int(((s >= cut - 1e-9) != (y == 1)).sum())
+    assert misses(model["cut"]) == min(map(misses, s)) > 0
+    rows = spark.createDataFrame([(int(v), [float(k)] * len(quality.NAMES)) for k, v in enumerate(y)], "y int, x array<float>").repartition(9)
+    monkeypatch.setattr(quality, "MERGE", 2)
+    assert quality._total(rows, lambda x, y: np.array([x[:, 0].sum(), y.sum(), len(y)]), 3).tolist() == [len(y) * (len(y) - 1) / 2, y.sum(), len(y)]
+
+
+def test_quality_of_repeated_rows_and_labels(spark):
+    """Equal rows of an id train once, its other texts too; the larger of two labels holds; rows that no label names train nothing."""
+    rows = [(1, "a b c")] * 5 + [(1, "other words here"), (2, "spam spam spam"), (3, "spam"), (None, "x"), (4, None)]
+    model = quality.fit(frame(spark, rows), labelled(spark, [(1, 0, 0), (1, 1, 0), (2, 0, 0), (None, 1, 0), (99, 1, 0)]))
+    held = {i for i in (1, 2) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert not held and (model["n1"], model["n0"]) == (2, 1)
+
+
 def test_results_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
     """With every bound at 0 the same rows come by shuffles and rounds of joins."""
     from tessella.llm import common
