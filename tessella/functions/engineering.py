@@ -96,8 +96,19 @@ def _gestep(n, step):
     return (n >= step).cast("double")
 
 
+def _distinct(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each combination of numbers (bit for bit) comes first, and which combination each row has."""
+    code, _ = pd.factorize(cols[0].view(np.int64))
+    for a in cols[1:]:
+        own, values = pd.factorize(a.view(np.int64))
+        code, _ = pd.factorize(code * len(values) + own)
+    first = np.empty(code.max() + 1, np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    return first, code
+
+
 def arrow(f, n: int):
-    """An Arrow batch function of n number columns; nulls and failures become null."""
+    """An Arrow batch function of n number columns, computed once for equal arguments; nulls and failures become null."""
 
     @F.pandas_udf(DoubleType())
     def run(*cols: pd.Series) -> pd.Series:
@@ -105,8 +116,10 @@ def arrow(f, n: int):
         ok = ~np.any([np.isnan(a) for a in x], axis=0)
         out = np.full(len(x[0]), np.nan)
         if ok.any():
+            x = [a[ok] for a in x]
+            first, code = _distinct(x)
             with np.errstate(all="ignore"):
-                out[ok] = f(*[a[ok] for a in x])
+                out[ok] = f(*[a[first] for a in x])[code]
         return pd.Series(np.where(np.isfinite(out), out, np.nan)).astype(object).where(np.isfinite(out), None)
 
     return run

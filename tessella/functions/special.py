@@ -78,6 +78,32 @@ def gamma_p_q(a, x):
     return np.where(bad, np.nan, p), np.where(bad, np.nan, q)
 
 
+def _beta_fraction(x, a, b):
+    """The continued fraction of beta_i. A row leaves once both steps of a round are 1 up to rounding, whose last bits may swing for ever."""
+    tiny, left = 1e-300, np.arange(len(x))
+    c = np.ones_like(x)
+    d = 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d.copy()
+    out = h.copy()
+    for m in range(1, 2000):
+        open_ = np.zeros(len(x), bool)
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + num * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + num / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            step = c * d
+            h = h * step
+            open_ |= np.abs(step - 1) > 5e-16
+        out[left] = h
+        if not open_.all():
+            left, x, a, b, c, d, h = (y[open_] for y in (left, x, a, b, c, d, h))
+            if not len(left):
+                break
+    return out
+
+
 def beta_i(x, a, b):
     """Regularised incomplete beta function."""
     x, a, b = (y.copy() for y in np.broadcast_arrays(np.asarray(x, float), np.asarray(a, float), np.asarray(b, float)))
@@ -85,23 +111,9 @@ def beta_i(x, a, b):
     x[bad], a[bad], b[bad] = 0.5, 1.0, 1.0
     flip = x > (a + 1) / (a + b + 2)
     xx, aa, bb = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
-    tiny = 1e-300
     with np.errstate(all="ignore"):
         front = np.exp(lgamma(aa + bb) - lgamma(aa) - lgamma(bb) + aa * np.log(np.where(xx > 0, xx, 1.0)) + bb * np.log1p(-np.where(xx < 1, xx, 0.0))) / aa
-        c = np.ones_like(xx)
-        d = 1 - (aa + bb) * xx / (aa + 1)
-        d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-        h = d.copy()
-        for m in range(1, 2000):
-            for num in (m * (bb - m) * xx / ((aa + 2 * m - 1) * (aa + 2 * m)), -(aa + m) * (aa + bb + m) * xx / ((aa + 2 * m) * (aa + 2 * m + 1))):
-                d = 1 + num * d
-                d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-                c = 1 + num / c
-                c = np.where(np.abs(c) < tiny, tiny, c)
-                step = c * d
-                h = h * step
-            if not np.any(np.abs(step - 1) > 1e-16):
-                break
+        h = _beta_fraction(xx.ravel(), aa.ravel(), bb.ravel()).reshape(xx.shape)
         part = np.where(xx <= 0, 0.0, front * h)
     return np.where(bad, np.nan, np.where(flip, 1 - part, part))
 
@@ -171,7 +183,9 @@ def binom_pmf(k, n, p):
 
 def binom_cdf(k, n, p):
     k, n, p = (np.asarray(x, float) for x in np.broadcast_arrays(k, n, p))
-    return np.where(k >= n, 1.0, np.where(k < 0, 0.0, beta_i(1 - p, np.maximum(n - k, 1e-9), k + 1)))
+    out, inside = np.where(k >= n, 1.0, 0.0), ~((k < 0) | (k >= n))
+    out[inside] = beta_i(1 - p[inside], n[inside] - k[inside], k[inside] + 1)
+    return out
 
 
 def _grid(m: int):

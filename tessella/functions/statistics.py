@@ -85,9 +85,12 @@ def _binom_inv(n, p, a):
     n = np.floor(n)
     lo, hi = np.full(len(n), -1.0), n.copy()
     for _ in range(64):
-        mid = np.floor((lo + hi) / 2)
-        under = sp.binom_cdf(mid, n, p) < a
-        lo, hi = np.where(under & (hi - lo > 1), mid, lo), np.where(~under & (hi - lo > 1), mid, hi)
+        wide = np.flatnonzero(hi - lo > 1)
+        if not len(wide):
+            break
+        mid = np.floor((lo[wide] + hi[wide]) / 2)
+        under = sp.binom_cdf(mid, n[wide], p[wide]) < a[wide]
+        lo[wide], hi[wide] = np.where(under, mid, lo[wide]), np.where(under, hi[wide], mid)
     return hi
 
 
